@@ -7,6 +7,7 @@ from importlib import import_module
 #: query name -> (module, function of the tables, tables it reads, module attribute with its SQL)
 _QUERIES = {
     "op1_language_id": ("langid", "language_id", ("documents",), None),
+    "op2_substring_dedup": ("substring_dedup", "substring_dedup", ("documents",), None),
 }
 
 
