@@ -8,6 +8,7 @@ from importlib import import_module
 _QUERIES = {
     "op1_language_id": ("langid", "language_id", ("documents",), None),
     "op2_substring_dedup": ("substring_dedup", "substring_dedup", ("documents",), None),
+    "op3_source_mixing": ("mixing", "source_mixing", ("documents",), "SQL"),
 }
 
 
