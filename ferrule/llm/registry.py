@@ -9,6 +9,7 @@ _QUERIES = {
     "op1_language_id": ("langid", "language_id", ("documents",), None),
     "op2_substring_dedup": ("substring_dedup", "substring_dedup", ("documents",), None),
     "op3_source_mixing": ("mixing", "source_mixing", ("documents",), "SQL"),
+    "op6_simhash_near_dedup": ("simhash", "simhash_near_dedup", ("documents",), None),
 }
 
 
