@@ -10,6 +10,7 @@ _QUERIES = {
     "op2_substring_dedup": ("substring_dedup", "substring_dedup", ("documents",), None),
     "op3_source_mixing": ("mixing", "source_mixing", ("documents",), "SQL"),
     "op6_simhash_near_dedup": ("simhash", "simhash_near_dedup", ("documents",), None),
+    "op8_secret_scan": ("secrets", "secret_scan", ("documents",), None),
 }
 
 
