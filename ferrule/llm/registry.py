@@ -11,6 +11,7 @@ _QUERIES = {
     "op3_source_mixing": ("mixing", "source_mixing", ("documents",), "SQL"),
     "op6_simhash_near_dedup": ("simhash", "simhash_near_dedup", ("documents",), None),
     "op8_secret_scan": ("secrets", "secret_scan", ("documents",), None),
+    "op5_benchmark_decontamination": ("decontamination", "benchmark_decontamination", ("documents", "benchmark"), None),
 }
 
 

@@ -14,6 +14,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import let
+
 #: Fixed patterns of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"  # AKIA[A-Z0-9]+ of 16 or more: a shorter run holds no later match that is longer
@@ -37,11 +39,6 @@ MASK = "[SECRET]"
 _BLOCK = 256
 
 
-def let(value: Column, body) -> Column:
-    """body(value) with value evaluated once, also where body uses it inside lambdas."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def _total(numbers: Column) -> Column:
     return F.aggregate(numbers, F.lit(0), lambda a, x: a + x)
 
