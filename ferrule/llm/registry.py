@@ -12,6 +12,7 @@ _QUERIES = {
     "op6_simhash_near_dedup": ("simhash", "simhash_near_dedup", ("documents",), None),
     "op8_secret_scan": ("secrets", "secret_scan", ("documents",), None),
     "op5_benchmark_decontamination": ("decontamination", "benchmark_decontamination", ("documents", "benchmark"), None),
+    "op4_document_fingerprints": ("imatch", "document_fingerprints", ("documents",), None),
 }
 
 
