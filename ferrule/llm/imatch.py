@@ -26,7 +26,7 @@ LOW, HIGH = 1 / 2000, 1 / 10
 #: Lexicon terms up to which it is broadcast; a larger one is joined by shuffling.
 BROADCAST = 1_000_000
 #: Lexicon subsets, hex digits of each one's hash, and distinct terms a text of scale 0 has at most.
-SLOTS, DIGITS, TERMS = 32, 3, 40
+SLOTS, DIGITS, TERMS = 32, 3, 72
 #: Ids a partition of the global order.
 ORDERED = 50_000
 _SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
