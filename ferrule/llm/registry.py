@@ -13,6 +13,8 @@ _QUERIES = {
     "op8_secret_scan": ("secrets", "secret_scan", ("documents",), None),
     "op5_benchmark_decontamination": ("decontamination", "benchmark_decontamination", ("documents", "benchmark"), None),
     "op4_document_fingerprints": ("imatch", "document_fingerprints", ("documents",), None),
+    "op7_html_extraction": ("html_text", "html_extraction", ("pages",), None),
+    "op9_url_filter": ("url_filter", "url_filter", ("pages",), None),
 }
 
 
