@@ -15,6 +15,7 @@ _QUERIES = {
     "op4_document_fingerprints": ("imatch", "document_fingerprints", ("documents",), None),
     "op7_html_extraction": ("html_text", "html_extraction", ("pages",), None),
     "op9_url_filter": ("url_filter", "url_filter", ("pages",), None),
+    "op10_warc_fixity": ("warc", "warc_fixity", ("pages",), "SQL"),
 }
 
 

@@ -18,6 +18,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ferrule.llm.common import order_id, small_batches, written
 from ferrule.llm.components import components
@@ -92,17 +93,18 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, wide: int = 1) -> DataFrame:
-    """doc_id and f0.. (64 bits each, as longs) of every row's whole text."""
+def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, wide: int = 1, carried: list[str] | None = None) -> DataFrame:
+    """The id, the carried columns and f0.. (64 bits each, as longs) of every row's whole text."""
     small_batches(docs.sparkSession)
-    names = ["doc_id", *(f"f{k}" for k in range(wide))]
+    src = docs.select(F.col(key).cast("long").alias(key), *(carried or []), F.col(text).alias("__text"))
+    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(f"f{k}", T.LongType()) for k in range(wide))])
 
     def run(batches):
         for batch in batches:
-            found = [sketch(t, size, wide) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *(pa.array([_signed(f[k]) for f in found], pa.int64()) for k in range(wide))], names=names)
+            found = [sketch(t, size, wide) for t in batch.column(batch.num_columns - 1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([_signed(f[k]) for f in found], pa.int64()) for k in range(wide))], names=schema.names)
 
-    return docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(run, ", ".join(f"{n} long" for n in names))
+    return src.mapInArrow(run, schema)
 
 
 class Forest:
@@ -232,25 +234,35 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc_id, group_id) of every row: groups of texts whose shingle similarity is estimated at `similarity` or more.
+    """(doc, tie, class, group_doc) of every row: groups of texts whose shingle similarity is estimated at `similarity` or more.
 
     Sketches of 64 x WIDE bits meet if one of BLOCKS blocks of BLOCK bits differs in at
     most BLOCK_RADIUS bits (covering tables); they link if the whole sketches differ in
-    no more bits than the angle of that Jaccard similarity gives. group_id is the
-    smallest id of the group.
+    no more bits than the angle of that Jaccard similarity gives. doc is the id (null
+    greatest), tie tells apart texts under one id, group_doc is the smallest id of the
+    group and group_class the class that has it.
     """
     names = [f"f{k}" for k in range(WIDE)]
     cosine = 2 * similarity / (1 + similarity)
     within = round(64 * WIDE * float(np.arccos(cosine) / np.pi))
-    prints = written(sketches(docs, text, key, shingle, WIDE), "sketches")
-    classes = written(prints.groupBy(*names).agg(F.min(order_id()).alias("least")), "classes")
+    keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    prints = written(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*names)), "sketches")
+    classes = written(prints.groupBy("class", *names).agg(F.min("doc").alias("least")), "classes")
     low = (1 << BLOCK) - 1
     keys = [F.col(names[b]).bitwiseAND(F.lit(_signed(m & low))) for b in range(BLOCKS) for m in masks(BLOCK, BLOCK_RADIUS).tolist()]
 
     def link(block: np.ndarray, forest: Forest) -> None:
-        leader_links(np.ascontiguousarray(block).view(np.uint64), within, forest)
+        leader_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), within, forest)
 
-    edges = _buckets(classes.select("least", *names), keys, ["least", *names], lambda block, forest: link(block[:, 1:], forest))
-    roots = written(components(edges.select(F.col("a_least").alias("a"), F.col("b_least").alias("b"))), "groups")
-    grouped = classes.join(roots.withColumnRenamed("node", "least"), "least", "left").select(*names, F.coalesce("root", "least").alias("group_id"))
-    return prints.join(written(grouped, "grouped"), names).select("doc_id", "group_id")
+    edges = _buckets(classes.select("class", *names), keys, ["class", *names], link)
+    roots = written(components(edges.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))), "roots")
+    rooted = written(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")), "rooted")
+    least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
+    named = written(rooted.join(least, "root").select("class", "group_doc", "group_class"), "named")
+    return prints.select("doc", "tie", "class").join(named, "class")
+
+
+def representatives(docs: DataFrame, **parameters) -> DataFrame:
+    """(doc, tie) of the one document that stays of each group: the smallest id's, and of its texts the first by tie."""
+    groups = near_duplicates(docs, **parameters).where((F.col("doc") == F.col("group_doc")) & (F.col("class") == F.col("group_class")))
+    return written(groups.groupBy("doc", "class").agg(F.min("tie").alias("tie")).select("doc", "tie"), "kept")
