@@ -2,9 +2,9 @@
 
 Numbers, names and units become typed placeholders; windows of WINDOW template tokens
 are hashed and joined with the windows of the benchmark items. A hit counts if its
-slots are consistent: the i-th and j-th slot hold equal values in the document exactly
-where they do in the item, so re-parameterised questions are found and mere likeness of
-form is not. The benchmark's windows are broadcast only up to BROADCAST of them.
+slots are consistent: within an occurrence of the item each of its values stands for one
+value of the document and the other way round, so re-parameterised questions are found
+and mere likeness of form is not. The benchmark's windows are broadcast only up to BROADCAST of them.
 """
 
 from __future__ import annotations
@@ -68,14 +68,18 @@ def _placed(hashes: Column, width: int) -> Column:
     return F.transform(_windows(hashes, width), lambda h, i: F.struct(h.alias("w"), F.lit(width).alias("width"), i.alias("at")))
 
 
-def _slots(template: Column, raw: Column, start: Column, width: Column) -> Column:
-    """Pattern of equal values among a window's slots: each slot's first place of its value."""
-    values = F.filter(F.transform(F.sequence(start, start + width - 1), lambda i: F.when(F.substring(F.get(template, i), 1, 1) == "<", F.lower(F.get(raw, i)))), lambda v: v.isNotNull())
-    return let(values, lambda v: F.transform(v, lambda x: F.array_position(v, x)))
+def _values(template: Column, raw: Column, start: Column, width: Column) -> Column:
+    """What stands in a window's slots, in order."""
+    return F.filter(F.transform(F.sequence(start, start + width - 1), lambda i: F.when(F.substring(F.get(template, i), 1, 1) == "<", F.lower(F.get(raw, i)))), lambda v: v.isNotNull())
+
+
+def _pattern(values: Column) -> Column:
+    """Which slots are equal: each slot's first place of its value."""
+    return F.transform(values, lambda x: F.array_position(values, x))
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w, width, item_id, at, windows, slots) of every window with enough literal tokens.
+    """(w, width, slots, item_id, at, windows, mine) of every window with enough literal tokens.
 
     Equal windows of the same slot pattern are kept once, under the smallest item, so a
     repeated item adds no rows to the join.
@@ -89,8 +93,9 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     rows = tokens.select("item_id", "raw", "template", width.alias("width"), (F.size("raw") - width + 1).alias("windows"), at.alias("at"))
     part = F.slice("template", F.col("at") + 1, F.col("width"))
     literal = F.size(F.filter(part, lambda x: F.substring(x, 1, 1) != "<"))
-    rows = rows.where(literal >= LITERALS).select(F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("w"), "width", "item_id", "at", "windows", _slots(F.col("template"), F.col("raw"), F.col("at"), F.col("width")).alias("slots"))
-    return rows.groupBy("w", "width", "slots").agg(F.min(F.struct("item_id", "at", "windows")).alias("i")).select("w", "width", "slots", "i.*")
+    rows = rows.where(literal >= LITERALS).select(F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("w"), "width", "item_id", "at", "windows", _values(F.col("template"), F.col("raw"), F.col("at"), F.col("width")).alias("mine"))
+    rows = rows.withColumn("slots", let(F.col("mine"), _pattern))
+    return rows.groupBy("w", "width", "slots").agg(F.min(F.struct("item_id", "at", "windows", "mine")).alias("i")).select("w", "width", "slots", "i.*")
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -106,8 +111,16 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     per_doc = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("w", "width", "at")).alias("met"))
     filled = keyed.join(per_doc, ["doc", "tie"]).select("doc", "tie", "met", _tokens(F.col("text")).alias("raw")).dropDuplicates(["doc", "tie"])
     filled = filled.select("doc", "tie", "met", "raw", _template(F.col("raw")).alias("template"))
-    filled = filled.select("doc", "tie", F.explode(F.transform("met", lambda m: F.struct(m["w"].alias("w"), m["width"].alias("width"), _slots(F.col("template"), F.col("raw"), m["at"], m["width"]).alias("slots")))).alias("x")).select("doc", "tie", "x.*").distinct()
-    return filled.join(items, ["w", "width", "slots"]).groupBy("doc", "tie", "item_id").agg(F.countDistinct("at").alias("n_hits"), F.max("windows").cast("long").alias("windows")).withColumn("share", F.col("n_hits") / F.col("windows"))
+    valued = F.transform("met", lambda m: F.struct(m["w"].alias("w"), m["width"].alias("width"), m["at"].alias("place"), _values(F.col("template"), F.col("raw"), m["at"], m["width"]).alias("theirs")))
+    filled = filled.select("doc", "tie", F.explode(valued).alias("x")).select("doc", "tie", "x.*").withColumn("slots", let(F.col("theirs"), _pattern))
+    # windows at one distance from their places in the item are one occurrence of it; each
+    # value of the item must stand for one value of the document there, and the other way round
+    pairs = F.zip_with("mine", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    found = filled.join(items, ["w", "width", "slots"]).groupBy("doc", "tie", "item_id", "windows", (F.col("place") - F.col("at")).alias("shift"))
+    found = found.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # of one item's length at most
+    alone = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
+    hit = found.where(alone("a") & alone("b")).select("doc", "tie", "item_id", "windows", F.explode("ats").alias("at"))
+    return hit.groupBy("doc", "tie", "item_id").agg(F.countDistinct("at").alias("n_hits"), F.max("windows").cast("long").alias("windows")).withColumn("share", F.col("n_hits") / F.col("windows"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
