@@ -20,7 +20,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     columns = docs.columns
     kept = simhash.representatives(docs)
     keyed = docs.withColumn("__doc", order_id()).withColumn("__tie", F.hash("text"))
-    joined = keyed.join(kept, (keyed["__doc"] == kept["doc"]) & (keyed["__tie"] == kept["tie"]))
+    joined = keyed.join(kept, (keyed["__doc"] == kept["doc"]) & (keyed["__tie"] == kept["tie"]), "left_semi")
     # a row that is repeated as a whole stays once
     first = F.row_number().over(W.partitionBy("__doc", "__tie").orderBy("__doc"))
     return joined.withColumn("__rank", first).where("__rank = 1").select(*columns)
@@ -44,8 +44,9 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     number = F.row_number().over(W.partitionBy("__k", "__t", "__s", "__n").orderBy("__k"))
     keys = lambda id_, tie, source: {"__k": F.coalesce(id_.cast("string"), F.lit("")), "__t": tie, "__s": F.coalesce(source, F.lit("")), "__n": source.isNull()}
     left = docs.withColumns(keys(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.col("source"))).withColumn("__i", number)
-    right = mixed.select(F.col("size").alias("mix_size"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"), F.col("taken").alias("mix_taken"), *(c.alias(n) for n, c in keys(F.col("doc_id"), F.col("tie"), F.col("source")).items())).withColumn("__i", number)
-    return left.join(right, ["__k", "__t", "__s", "__n", "__i"]).select(*docs.columns, "mix_size", "mix_source_size", "mix_target", "mix_taken")
+    new = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
+    right = mixed.select(*(F.col(c).alias(f"__{n}") for n, c in new.items()), *(c.alias(n) for n, c in keys(F.col("doc_id"), F.col("tie"), F.col("source")).items())).withColumn("__i", number)
+    return left.join(right, ["__k", "__t", "__s", "__n", "__i"]).select(*(c for c in docs.columns if c not in new), *(F.col(f"__{n}").alias(n) for n in new))
 
 
 STAGES = [
