@@ -28,11 +28,14 @@ from ferrule.llm.substring_dedup import words_of
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: A bucket with more classes is covered again; with so few free bits it is compared in blocks.
 LEAF, LEAF_BITS = 512, 9
-#: Near-duplicates at similarity 0.8: sketches of WIDE x 64 bits, BLOCKS covered blocks of BLOCK bits within BLOCK_RADIUS.
-WIDE, BLOCKS, BLOCK, BLOCK_RADIUS, NEAR_SHINGLE, SIMILARITY = 4, 3, 40, 5, 5, 0.8
+#: Near-duplicates: sketches of WIDE x 64 bits, BLOCKS covered blocks of BLOCK bits within BLOCK_RADIUS; NARROW
+#: words of a sketch travel to the buckets and pass pairs of similarity CANDIDATE, all of it decides on SIMILARITY.
+WIDE, NARROW, BLOCKS, BLOCK, BLOCK_RADIUS, NEAR_SHINGLE, CANDIDATE, SIMILARITY = 16, 4, 3, 40, 5, 5, 0.7, 0.8
+#: Members of a bucket's group that are all paired; a larger group has a star and a path.
+PAIRS = 8
 #: Primitive binary polynomials by degree (fixed values).
 PRIMITIVE = {1: 0b11, 2: 0b111, 3: 0b1011, 4: 0b10011, 5: 0b100101, 6: 0b1000011, 7: 0b10000011, 8: 0b100011101}
-_STEP = 1 << 15
+_STEP = 1 << 11
 
 
 @lru_cache(maxsize=64)
@@ -74,19 +77,31 @@ def shingle_hashes(text: str | None, size: int, seed: int = SEED):
         yield np.array([xxhash.xxh64_intdigest(b" ".join(rest), seed)], dtype=np.uint64)
 
 
+def _ones(mixed: np.ndarray) -> np.ndarray:
+    """Column sums of the bits of rows of 64-bit words; bytes hold the sums of up to 255 rows."""
+    bits = np.unpackbits(mixed.view(np.uint8), bitorder="little").reshape(len(mixed), -1)
+    out = np.zeros(bits.shape[1], dtype=np.int64)
+    for i in range(0, len(bits), 255):
+        out += np.add.reduce(bits[i : i + 255], axis=0, dtype=np.uint8)
+    return out
+
+
 def sketch(text: str | None, size: int = SHINGLE, wide: int = 1) -> list[int]:
     """`wide` 64-bit SimHashes of a text: a bit is 1 if set in over half its shingles' hashes."""
-    ones, n = np.zeros((wide, 64), dtype=np.int64), 0
+    ones, n = np.zeros(64 * wide, dtype=np.int64), 0
+    multiplier = np.uint64(0xD6E8FEB86659FD93)
+    seeds = np.arange(1, wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
     for hashes in shingle_hashes(text, size):
         n += len(hashes)
-        for k in range(wide):
-            mixed = hashes if not k else (hashes ^ np.uint64(0x9E3779B97F4A7C15 * k % (1 << 64))) * np.uint64(0xD6E8FEB86659FD93)
-            if k:
-                mixed = (mixed ^ (mixed >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-                mixed ^= mixed >> np.uint64(29)
-            for i in range(0, len(mixed), _STEP):
-                ones[k] += np.unpackbits(mixed[i : i + _STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return [int(sum(1 << i for i in np.flatnonzero(2 * row > n).tolist())) for row in ones]
+        for i in range(0, len(hashes), _STEP):
+            part = hashes[i : i + _STEP].reshape(-1, 1)
+            if wide > 1:
+                more = (part ^ seeds) * multiplier
+                more = (more ^ (more >> np.uint64(32))) * multiplier
+                part = np.concatenate([part, more ^ (more >> np.uint64(29))], axis=1)
+            ones += _ones(np.ascontiguousarray(part))
+    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
+    return [int(x) for x in ((2 * ones > n).reshape(wide, 64) * weights).sum(axis=1, dtype=np.uint64)]
 
 
 def _signed(x: int) -> int:
@@ -145,23 +160,25 @@ def exact_links(values: np.ndarray, free: int, radius: int, forest: Forest, at:
                 exact_links(values, free & ~kept, radius, forest, part)
 
 
-def leader_links(values: np.ndarray, within: int, forest: Forest) -> None:
-    """Joins every position to the first leader within the distance; the others lead in turn."""
-    left = np.arange(len(values))
+def candidate_links(values: np.ndarray, within: int) -> list[tuple[int, int]]:
+    """Pairs of positions within the distance: each with the first of its group, the others leading in turn.
+
+    A group of at most PAIRS has all its pairs, a larger one a star and a path.
+    """
+    left, out = np.arange(len(values)), []
     while len(left) > 1:
         near = _popcount(values[left] ^ values[left[0]]).sum(axis=1) <= within
-        for j in left[near][1:].tolist():
-            forest.join(int(left[0]), j)
+        group = left[near].tolist()
+        if len(group) <= PAIRS:
+            out += [(x, y) for i, x in enumerate(group) for y in group[i + 1 :]]
+        else:
+            out += [(group[0], y) for y in group[1:]] + list(zip(group[1:], group[2:], strict=False))
         left = left[~near]
+    return out
 
 
-def _bucket_edges(names: list[str], link):
-    """A function over batches sorted by (t, key): spanning edges within each bucket."""
-
-    def edges(block: np.ndarray):
-        forest = Forest(len(block))
-        link(block, forest)
-        return forest.edges
+def _bucket_edges(names: list[str], edges):
+    """A function over batches sorted by (t, key): the pairs of rows that `edges` finds in each bucket."""
 
     def run(batches):
         held = None
@@ -204,13 +221,14 @@ def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     kept = masks(64, radius).tolist()
 
     # a bucket doesn't tell which table it is of: what its members share is found from them
-    def link(block: np.ndarray, forest: Forest) -> None:
-        values = block[:, 0].view(np.uint64) if block.flags.c_contiguous else np.ascontiguousarray(block[:, 0]).view(np.uint64)
+    def link(block: np.ndarray) -> list[tuple[int, int]]:
+        values, forest = np.ascontiguousarray(block[:, 0]).view(np.uint64), Forest(len(block))
         if len(values) <= LEAF:
             exact_links(values, every, radius, forest, np.arange(len(values)))
         else:
             differing = int(np.bitwise_or.reduce(values ^ values[0]))
             exact_links(values, differing, radius, forest, np.arange(len(values)))
+        return forest.edges
 
     keys = [F.col("f0").bitwiseAND(F.lit(_signed(m))) for m in kept]
     edges = _buckets(prints.select("f0").distinct(), keys, ["f0"], link)
@@ -242,20 +260,26 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     greatest), tie tells apart texts under one id, group_doc is the smallest id of the
     group and group_class the class that has it.
     """
-    names = [f"f{k}" for k in range(WIDE)]
-    cosine = 2 * similarity / (1 + similarity)
-    within = round(64 * WIDE * float(np.arccos(cosine) / np.pi))
+    words = [f"f{k}" for k in range(WIDE)]
+    narrow = words[:NARROW]
+    bits = lambda jaccard: float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi) * 64  # noqa: E731  expected in 64
     keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    prints = written(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*names)), "sketches")
-    classes = written(prints.groupBy("class", *names).agg(F.min("doc").alias("least")), "classes")
+    prints = written(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*words)), "sketches")
+    classes = written(prints.groupBy("class", *words).agg(F.min("doc").alias("least")), "classes")
     low = (1 << BLOCK) - 1
-    keys = [F.col(names[b]).bitwiseAND(F.lit(_signed(m & low))) for b in range(BLOCKS) for m in masks(BLOCK, BLOCK_RADIUS).tolist()]
-
-    def link(block: np.ndarray, forest: Forest) -> None:
-        leader_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), within, forest)
-
-    edges = _buckets(classes.select("class", *names), keys, ["class", *names], link)
-    roots = written(components(edges.select(F.col("a_class").alias("a"), F.col("b_class").alias("b"))), "roots")
+    keys = [F.col(narrow[b]).bitwiseAND(F.lit(_signed(m & low))) for b in range(BLOCKS) for m in masks(BLOCK, BLOCK_RADIUS).tolist()]
+    near = round(bits(CANDIDATE) * NARROW)
+
+    def link(block: np.ndarray) -> list[tuple[int, int]]:
+        return candidate_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), near)
+
+    pairs = _buckets(classes.select("class", *narrow), keys, ["class", *narrow], link)
+    pairs = written(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "candidates")
+    side = lambda s: classes.select(F.col("class").alias(s), *(F.col(w).alias(f"{s}_{w}") for w in words))
+    half = written(pairs.join(side("a"), "a"), "half")
+    differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
+    links = half.join(side("b"), "b").where(differing <= round(bits(similarity) * WIDE)).select("a", "b")
+    roots = written(components(links), "roots")
     rooted = written(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")), "rooted")
     least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
     named = written(rooted.join(least, "root").select("class", "group_doc", "group_class"), "named")
