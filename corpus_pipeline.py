@@ -7,12 +7,12 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ferrule.llm import decontamination, langid, mixing, secrets, simhash
-from ferrule.llm.common import order_id, table, written
+from ferrule.llm.common import compact, held, order_id, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keeps the documents whose language is recognised (operator 1); those it rejects go."""
-    return langid.drop_rejected(docs, langid.fit(docs))
+    return compact(langid.drop_rejected(docs, langid.fit(docs)), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,30 +23,31 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     joined = keyed.join(kept, (keyed["__doc"] == kept["doc"]) & (keyed["__tie"] == kept["tie"]), "left_semi")
     # a row that is repeated as a whole stays once
     first = F.row_number().over(W.partitionBy("__doc", "__tie").orderBy("__doc"))
-    return joined.withColumn("__rank", first).where("__rank = 1").select(*columns)
+    return compact(joined.withColumn("__rank", first).where("__rank = 1").select(*columns), docs)
 
 
 def decontamination_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that hold benchmark items (operator 5)."""
-    return decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return compact(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replaces secrets in the texts (operator 8); n_chars follows the text."""
     clean = secrets.redact(docs)
-    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean
+    return compact(clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean, docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the mix takes (operator 3), with the size, target and words taken of each."""
-    mixed = written(mixing.mix(docs).where("taken > 0"), "mix")
+    mixed = held(mixing.mix(docs).where("taken > 0"))
     # rows alike in id, text and source are interchangeable: they meet by number
     number = F.row_number().over(W.partitionBy("__k", "__t", "__s", "__n").orderBy("__k"))
     keys = lambda id_, tie, source: {"__k": F.coalesce(id_.cast("string"), F.lit("")), "__t": tie, "__s": F.coalesce(source, F.lit("")), "__n": source.isNull()}
     left = docs.withColumns(keys(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.col("source"))).withColumn("__i", number)
     new = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
     right = mixed.select(*(F.col(c).alias(f"__{n}") for n, c in new.items()), *(c.alias(n) for n, c in keys(F.col("doc_id"), F.col("tie"), F.col("source")).items())).withColumn("__i", number)
-    return left.join(right, ["__k", "__t", "__s", "__n", "__i"]).select(*(c for c in docs.columns if c not in new), *(F.col(f"__{n}").alias(n) for n in new))
+    joined = left.join(right, ["__k", "__t", "__s", "__n", "__i"])
+    return compact(joined.select(*(c for c in docs.columns if c not in new), *(F.col(f"__{n}").alias(n) for n in new)), docs)
 
 
 STAGES = [

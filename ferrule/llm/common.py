@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections import deque
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,11 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 #: Stands for a null id, so that it counts as greater than every other.
 LAST_ID = (1 << 63) - 1
+#: Bytes of input an output partition is worth, and partitions a core at least.
+PARTITION_BYTES, PER_CORE = 16 << 20, 2
+#: Results held at once; older ones are dropped and, if still wanted, computed anew.
+HELD = 96
+_held: deque[DataFrame] = deque()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +49,41 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """The rows as a table in the shared folder: cuts lineage and survives lost executors.
+def written(df: DataFrame, name: str, *sources: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: cuts lineage, for loops, whole stages and large results.
 
-    Both sides of a join are read from such tables where a key may be hot, so that
-    adaptive execution sees plain exchanges and can split the large partitions.
+    Compacted as `compact` does where sources are given.
     """
     spark = df.sparkSession
+    df = compact(df, *sources) if sources else df
     path = f"{shared_dir(spark)}/ferrule-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def held(df: DataFrame) -> DataFrame:
+    """The rows on the executors' disks, for results that are used more than once.
+
+    What a lost executor held is computed anew from its lineage, which is short. Both
+    sides of a join are held first where a key may be hot, so that adaptive execution
+    sees plain exchanges and can split the large partitions.
+    """
+    _held.append(df.persist(StorageLevel.DISK_ONLY))
+    if len(_held) > HELD:
+        try:
+            _held.popleft().unpersist()
+        except Exception:  # its session has ended
+            pass
+    return df
+
+
+def compact(df: DataFrame, *sources: DataFrame) -> DataFrame:
+    """At most one partition for PARTITION_BYTES of the sources' files, so that small inputs don't end in very many small files."""
+    size = sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in sources)
+    return df.coalesce(max(PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bounds what a Python worker holds of whole texts at once."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

@@ -1,7 +1,7 @@
 """Connected components of an edge table, by alternating stars.
 
-Every round is two plans over written tables, so lineage stays short and a lost
-executor costs no more than a stage. A node with very many neighbours is a hot key:
+Every round ends in a written table, so lineage stays short and a lost executor costs no
+more than a round. A node with very many neighbours is a hot key:
 its least neighbour is found by a partial aggregate, and the join that hands it back
 has plain exchanges on both sides, which adaptive execution splits.
 """
@@ -11,11 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import written
+from ferrule.llm.common import held, written
 
+#: Edges a partition of the tables that are written between rounds.
+EDGES = 250_000
 
-def _least(edges: DataFrame, name: str) -> DataFrame:
-    return written(edges.groupBy("u").agg(F.min("v").alias("m")), name)
+
+def _cut(edges: DataFrame, n: int) -> DataFrame:
+    """The rows as a written table of as many files as about n edges are worth."""
+    return written(edges.coalesce(n // EDGES + 1), "stars")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -24,20 +28,22 @@ def components(edges: DataFrame) -> DataFrame:
     Loops and repeated edges change nothing; no edges give no rows.
     """
     # every edge points from the larger to the smaller end
-    stars = written(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges")
+    stars = held(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    n = stars.count()
+    stars = _cut(stars, n)
     before = None
     while True:
         # large star: larger neighbours of a node move to the least of all its neighbours
-        both = written(stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v"))), "both")
-        least = _least(both, "least").select("u", F.least("u", "m").alias("m"))
-        large = both.join(written(least, "least-own"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
+        both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        large = _cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         # small star: smaller neighbours of a node, and the node, move to the least of them
-        small = large.join(_least(large, "least"), "u")
+        least = _cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
-        stars = written(small, "stars")
+        stars = _cut(small, n)
         now = tuple(stars.agg(F.count("*"), F.sum(F.hash("u", "v").cast("long")), F.sum(F.xxhash64("u", "v") % 1_000_003)).first())
         if now == before:
             break
-        before = now
+        before, n = now, now[0]
     return stars.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(stars.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import let, order_id, written
+from ferrule.llm.common import let, order_id, held
 
 #: Template tokens a window; shorter items count as one window, with more than LEAST tokens.
 WINDOW, LEAST = 13, 8
@@ -100,13 +100,13 @@ def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, tie, item_id, n_hits, windows, share): consistent window hits of each document and item."""
-    items = written(item_windows(benchmark), "items")
+    items = held(item_windows(benchmark))
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # WINDOW - LEAST + 1 values at most
     near = F.broadcast if items.count() <= BROADCAST else (lambda x: x)
     keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
     windows = F.flatten(F.array(*(_placed(F.col("hashes"), w) for w in sorted(widths)))) if widths else F.array().cast("array<struct<w:bigint,width:int,at:int>>")
     exploded = keyed.select("doc", "tie", _hashed(F.col("text")).alias("hashes")).select("doc", "tie", F.explode(windows).alias("x")).select("doc", "tie", "x.*")
-    met = written(exploded.join(near(items.select("w", "width").distinct()), ["w", "width"]).select("doc", "tie", "w", "width", "at").distinct(), "hits")
+    met = held(exploded.join(near(items.select("w", "width").distinct()), ["w", "width"]).select("doc", "tie", "w", "width", "at").distinct())
     # the texts of documents with hits give the values of their slots
     per_doc = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("w", "width", "at")).alias("met"))
     filled = keyed.join(per_doc, ["doc", "tie"]).select("doc", "tie", "met", _tokens(F.col("text")).alias("raw")).dropDuplicates(["doc", "tie"])
@@ -125,7 +125,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that no benchmark item contaminates, with all their columns."""
-    found = written(hits(docs, benchmark).where(F.col("share") >= SHARE).select("doc", "tie").distinct(), "contaminated")
+    found = held(hits(docs, benchmark).where(F.col("share") >= SHARE).select("doc", "tie").distinct())
     columns = docs.columns
     keyed = docs.withColumn("__doc", order_id()).withColumn("__tie", F.hash("text"))
     return keyed.join(found, (keyed["__doc"] == found["doc"]) & (keyed["__tie"] == found["tie"]), "left_anti").select(*columns)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LAST_ID, let, order_id, written
+from ferrule.llm.common import LAST_ID, let, order_id, held
 
 #: The band: terms in at least LOW of the documents (two at least) and at most HIGH of them.
 #: At most (terms a document) / LOW terms can be in the band, whatever the corpus's size.
@@ -41,7 +41,7 @@ def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
     """(term): hashes of the terms whose document frequency is in the band, over all rows."""
     counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
     n = docs.count()
-    return written(counts.where((F.col("df") >= n * LOW) & (F.col("df") <= max(2.0, n * HIGH))).select("term"), "lexicon")
+    return held(counts.where((F.col("df") >= n * LOW) & (F.col("df") <= max(2.0, n * HIGH))).select("term"))
 
 
 def _scale(n_terms: Column) -> Column:
@@ -88,10 +88,10 @@ def likeness(a: Column, b: Column) -> Column:
 
 def _order(keyed: DataFrame) -> DataFrame:
     """(doc, tie, n, next_doc, next_tie): the following row by descending doc; after the last the first."""
-    ids = written(keyed.select("doc", "tie", F.length("text").alias("n")).distinct(), "ids")
+    ids = held(keyed.select("doc", "tie", F.length("text").alias("n")).distinct())
     by = (F.col("doc").desc(), F.col("tie"))
     parts = max(1, -(-ids.count() // ORDERED))
-    dealt = written(ids.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), "dealt")
+    dealt = held(ids.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
     inside = W.partitionBy("part").orderBy(*by)
     ranked = dealt.select("*", F.lead(F.struct("doc", "tie")).over(inside).alias("next"), F.row_number().over(inside).alias("rank"))
     # one row a partition
@@ -99,7 +99,7 @@ def _order(keyed: DataFrame) -> DataFrame:
     around = W.orderBy("part")
     carry = firsts.select(F.col("part").alias("p"), F.coalesce(F.lead("first").over(around), F.first("first").over(around)).alias("carry"))
     placed = ranked.join(carry, F.col("part") == F.col("p")).withColumn("next", F.coalesce("next", "carry"))
-    return written(placed.select("doc", "tie", "n", F.col("next.doc").alias("next_doc"), F.col("next.tie").alias("next_tie")), "order")
+    return held(placed.select("doc", "tie", "n", F.col("next.doc").alias("next_doc"), F.col("next.tie").alias("next_tie")))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -133,7 +133,7 @@ def document_fingerprints(docs: DataFrame) -> DataFrame:
     hash; repeated rows give one row; the only document is its own next; a null id
     orders as the greatest; an empty table gives no rows; other columns are ignored.
     """
-    made = written(fingerprints(docs), "fingerprints")
+    made = held(fingerprints(docs))
     following = made.select(F.col("doc").alias("next_doc"), F.col("tie").alias("next_tie"), F.col("fingerprint").alias("next"))
     rows = made.join(following, ["next_doc", "next_tie"])
     id_ = F.when(F.col("doc") == F.lit(LAST_ID), F.lit(None)).otherwise(F.col("doc")).cast("long")

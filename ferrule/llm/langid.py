@@ -26,8 +26,9 @@ DIM = 1 << 14
 #: language and about SAMPLE in all, so its size doesn't depend on the corpus.
 PER_LANGUAGE, SAMPLE = 400, 8000
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected below SLACK times the REJECT_QUANTILE of the cosines of training texts of its length.
-REJECT_QUANTILE, SLACK = 0.01, 0.5
+#: A text is rejected below SLACK times the REJECT_QUANTILE of the cosines of training texts of
+#: its length (by powers of two); a length needs ENOUGH of them.
+REJECT_QUANTILE, SLACK, ENOUGH = 0.01, 0.3, 30
 _PIECE = 1 << 20
 _MULTIPLIERS = np.array([[0x9E3779B1, 0, 0], [0x85EBCA77, 0xC2B2AE3D, 0], [0x27D4EB2F, 0x165667B1, 0xD3A2646D]], dtype=np.uint32)
 
@@ -133,11 +134,16 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
                 names=["lang", "h", "ids", "counts", "n"],
             )
 
-    sample = rows.where(wanted).mapInArrow(features, "lang string, h long, ids array<int>, counts array<long>, n long").where("n > 0").toArrow().to_pylist()
+    found = rows.where(wanted).mapInArrow(features, "lang string, h long, ids array<int>, counts array<long>, n long").where("n > 0").toArrow()
+    # arrays throughout: as Python objects the sample would take ten times the memory
+    sample = []
+    for batch in found.to_batches():
+        langs, hashes, letters = (batch.column(c).to_pylist() for c in ("lang", "h", "n"))
+        ids, counts = batch.column("ids"), batch.column("counts")
+        sample += [{"lang": lang, "h": h, "n": n, "ids": ids[i].values.to_numpy(), "counts": counts[i].values.to_numpy()} for i, (lang, h, n) in enumerate(zip(langs, hashes, letters, strict=True))]
     sample.sort(key=lambda r: (r["lang"], r["h"]))
     df = np.zeros(DIM)
     for r in sample:
-        r["ids"], r["counts"] = np.array(r["ids"]), np.array(r["counts"])
         df[r["ids"]] += 1
     names = sorted({r["lang"] for r in sample})
     model = Model(names, np.zeros(0, int), np.zeros((0, DIM), np.float32), np.log((1 + len(sample)) / (1 + df)) + 0.1, np.zeros(32))
@@ -156,11 +162,11 @@ def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str =
         for r in sample:
             best = float((model.centroids[:, r["ids"]] @ model.vector(r["ids"], r["counts"])).max())
             by.setdefault(_bucket(r["n"]), []).append(best)
-        known = {b: SLACK * float(np.quantile(v, REJECT_QUANTILE)) for b, v in by.items()}
-        for b in range(32):  # a length without samples takes the lower of its neighbours
+        known = {b: SLACK * float(np.quantile(v, REJECT_QUANTILE)) for b, v in by.items() if len(v) >= ENOUGH}
+        for b in range(32):  # a length without enough samples takes the lower of its neighbours; one shorter than all, half the next
             below = [known[x] for x in sorted(known) if x <= b][-1:]
             above = [known[x] for x in sorted(known) if x >= b][:1]
-            model.least[b] = min(below + above) if below else 0.0
+            model.least[b] = min(below + above) if below else 0.5 * above[0] if above else 0.0
     return model
 
 

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import WORD, written
+from ferrule.llm.common import WORD, held
 
 #: Weights by rank of the source, repeating; a source gives at most MOST times its size.
 WEIGHTS, MOST = (1, 2, 3), 3
@@ -57,19 +57,17 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     random = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), digest))
-    rows = written(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), digest.alias("tie"), size_of(F.col(text)).alias("size"), F.conv(F.substring(random, 1, 15), 16, 10).cast("long").alias("key")),
-        "sizes",
-    )
-    sources = written(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))), "targets")
+    rows = held(
+        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), digest.alias("tie"), size_of(F.col(text)).alias("size"), F.conv(F.substring(random, 1, 15), 16, 10).cast("long").alias("key")))
+    sources = held(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))))
     # a source with n documents has about n / SLICE slices
     slices = (F.floor(F.col("docs") / SLICE) + 1).cast("long")
     named = sources.select(F.col("source").alias("s"), "source_size", "target", slices.alias("slices"))
     dealt = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("slices"))).cast("long"))
-    dealt = written(dealt.drop("s", "slices"), "slices")
+    dealt = held(dealt.drop("s", "slices"))
     sums = dealt.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
-    sums = written(sums.select(F.col("source").alias("s"), F.col("slice").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")), "starts")
+    sums = held(sums.select(F.col("source").alias("s"), F.col("slice").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")))
     inside = W.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(W.unboundedPreceding, -1)
     placed = dealt.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("p"))).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
     budget = F.round("target").cast("long")

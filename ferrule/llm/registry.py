@@ -21,10 +21,11 @@ _QUERIES = {
 
 def _query(module: str, function: str, tables: tuple[str, ...]):
     def run(spark, sf_dir):
-        from ferrule.llm.common import table
+        from ferrule.llm.common import compact, table
 
         operator = getattr(import_module(f"ferrule.llm.{module}"), function)
-        return operator(*(table(spark, sf_dir, t) for t in tables))
+        sources = [table(spark, sf_dir, t) for t in tables]
+        return compact(operator(*sources), *sources)
 
     return run
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import order_id, small_batches, written
+from ferrule.llm.common import order_id, small_batches, held
 from ferrule.llm.components import components
 from ferrule.llm.substring_dedup import words_of
 
@@ -242,11 +242,11 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
     null id counts as greater than every other; repeated rows give repeated rows; an
     empty table gives no rows; other columns are ignored.
     """
-    prints = written(sketches(docs), "prints")
+    prints = held(sketches(docs))
     classes = prints.groupBy("f0").agg(F.min(order_id()).alias("least"))
-    rooted = written(classes.join(written(near_classes(prints), "roots"), "f0", "left").select("f0", "least", F.coalesce("root", "f0").alias("root")), "rooted")
+    rooted = held(classes.join(held(near_classes(prints)), "f0", "left").select("f0", "least", F.coalesce("root", "f0").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f0", "component_id")
-    out = prints.join(written(named, "named"), "f0")
+    out = prints.join(held(named), "f0")
     component = F.when((F.col("component_id") == F.lit((1 << 63) - 1)) & F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
@@ -264,8 +264,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     narrow = words[:NARROW]
     bits = lambda jaccard: float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi) * 64  # noqa: E731  expected in 64
     keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    prints = written(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*words)), "sketches")
-    classes = written(prints.groupBy("class", *words).agg(F.min("doc").alias("least")), "classes")
+    prints = held(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*words)))
+    classes = held(prints.groupBy("class", *words).agg(F.min("doc").alias("least")))
     low = (1 << BLOCK) - 1
     keys = [F.col(narrow[b]).bitwiseAND(F.lit(_signed(m & low))) for b in range(BLOCKS) for m in masks(BLOCK, BLOCK_RADIUS).tolist()]
     near = round(bits(CANDIDATE) * NARROW)
@@ -274,19 +274,19 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         return candidate_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), near)
 
     pairs = _buckets(classes.select("class", *narrow), keys, ["class", *narrow], link)
-    pairs = written(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "candidates")
+    pairs = held(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct())
     side = lambda s: classes.select(F.col("class").alias(s), *(F.col(w).alias(f"{s}_{w}") for w in words))
-    half = written(pairs.join(side("a"), "a"), "half")
+    half = held(pairs.join(side("a"), "a"))
     differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
     links = half.join(side("b"), "b").where(differing <= round(bits(similarity) * WIDE)).select("a", "b")
-    roots = written(components(links), "roots")
-    rooted = written(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")), "rooted")
+    roots = held(components(links))
+    rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
-    named = written(rooted.join(least, "root").select("class", "group_doc", "group_class"), "named")
+    named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))
     return prints.select("doc", "tie", "class").join(named, "class")
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
     """(doc, tie) of the one document that stays of each group: the smallest id's, and of its texts the first by tie."""
     groups = near_duplicates(docs, **parameters).where((F.col("doc") == F.col("group_doc")) & (F.col("class") == F.col("group_class")))
-    return written(groups.groupBy("doc", "class").agg(F.min("tie").alias("tie")).select("doc", "tie"), "kept")
+    return held(groups.groupBy("doc", "class").agg(F.min("tie").alias("tie")).select("doc", "tie"))

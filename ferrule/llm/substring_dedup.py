@@ -164,19 +164,17 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     """
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, text)
-    anchors = written(keyed.select("doc", "tie", "text").mapInArrow(_anchors, "h long, k long, doc long, tie int, run long"), "anchors")
+    anchors = written(keyed.select("doc", "tie", "text").mapInArrow(_anchors, "h long, k long, doc long, tie int, run long"), "anchors", docs)
     shared = anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
-    seeds = written(anchors.join(written(shared, "shared"), "h"), "seeds")
-    first = written(seeds.groupBy("h", "k").agg(F.min("doc").alias("first")), "first")
+    seeds = written(anchors.join(written(shared, "shared", docs), "h"), "seeds", docs)
+    first = written(seeds.groupBy("h", "k").agg(F.min("doc").alias("first")), "first", docs)
     several = first.groupBy("h").agg(F.count("*").alias("contexts")).where("contexts > 1").select("h", F.lit(True).alias("several"))
-    first = written(first.join(several, "h", "left"), "contexts")
+    first = written(first.join(several, "h", "left"), "contexts", docs)
     settled = written(
-        seeds.join(first, ["h", "k"]).select("doc", "tie", "run", (F.col("doc") > F.col("first")).alias("whole"), F.coalesce("several", F.lit(False)).alias("several")).where("whole or several"),
-        "settled",
-    )
+        seeds.join(first, ["h", "k"]).select("doc", "tie", "run", (F.col("doc") > F.col("first")).alias("whole"), F.coalesce("several", F.lit(False)).alias("several")).where("whole or several"), "settled", docs)
     extend = settled.where("not whole").groupBy("doc", "tie").agg(F.collect_list("run").alias("runs"))
-    windows = written(keyed.select("doc", "tie", "text").join(extend, ["doc", "tie"]).mapInArrow(_windows(length), "w1 long, w2 long, doc long, tie int, run long"), "windows")
-    least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "least")
+    windows = written(keyed.select("doc", "tie", "text").join(extend, ["doc", "tie"]).mapInArrow(_windows(length), "w1 long, w2 long, doc long, tie int, run long"), "windows", docs)
+    least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "least", docs)
     found = windows.join(least, ["w1", "w2"]).where("doc > lo").select("doc", "tie", "run")
     return found.unionByName(settled.where("whole").select("doc", "tie", "run"))
 

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import written
+from ferrule.llm.common import held
 
 FANOUT = 16
 #: Records a partition of the global order.
@@ -71,7 +71,7 @@ def ordered(records: DataFrame) -> DataFrame:
     """Adds leaf (place in the order of id, null first, then copy) and offset, by sums of sorted partitions."""
     parts = max(1, -(-records.count() // ORDERED))
     by = (F.col("id").asc_nulls_first(), F.col("copy"))
-    dealt = written(records.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()), "dealt")
+    dealt = held(records.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
     before = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
     sums = dealt.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
     starts = sums.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("o0"))
@@ -89,7 +89,7 @@ def tree(leaves: DataFrame) -> list[DataFrame]:
         children = F.array_sort(F.collect_list(F.struct("node", F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))))  # FANOUT of them at most
         up = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("c"))
         hashed = lambda side: F.sha2(F.array_join(F.transform("c", lambda x: x[side]), ""), 256).alias(side)
-        levels.append(written(up.select("node", hashed("a"), hashed("b")), "level"))
+        levels.append(held(up.select("node", hashed("a"), hashed("b"))))
         n = -(-n // FANOUT)
     return levels
 
@@ -109,10 +109,10 @@ def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
     status is ok, corrupt (another digest in the replica) or missing; records that only
     the replica has follow with status extra and no place.
     """
-    mine = written(ordered(manifest(primary)), "primary")
-    other = written(manifest(replica).select(F.col("id").alias("rid"), F.col("copy").alias("rcopy"), F.col("digest").alias("b")), "replica")
+    mine = held(ordered(manifest(primary)))
+    other = held(manifest(replica).select(F.col("id").alias("rid"), F.col("copy").alias("rcopy"), F.col("digest").alias("b")))
     same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("copy") == F.col("rcopy"))
-    leaves = written(mine.join(other, same, "left").select(F.col("leaf").alias("node"), F.col("digest").alias("a"), "b", "id", "copy", "offset", "length"), "leaves")
+    leaves = held(mine.join(other, same, "left").select(F.col("leaf").alias("node"), F.col("digest").alias("a"), "b", "id", "copy", "offset", "length"))
     bad = mismatches(tree(leaves)).withColumn("bad", F.lit(True))
     status = F.when(F.col("bad").isNull(), "ok").when(F.col("b").isNull(), "missing").otherwise("corrupt")
     found = leaves.join(bad, "node", "left").select("id", "copy", F.col("node").alias("leaf"), "offset", "length", F.col("a").alias("digest"), status.alias("status"))
