@@ -79,9 +79,12 @@ def held(df: DataFrame) -> DataFrame:
 
 
 def compact(df: DataFrame, *sources: DataFrame) -> DataFrame:
-    """At most one partition for PARTITION_BYTES of the sources' files, so that small inputs don't end in very many small files."""
+    """At most one partition for PARTITION_BYTES of the sources' files, so that small inputs don't end in very many small files.
+
+    A source of unknown size (rows from memory) counts as very large: nothing is compacted.
+    """
     size = sum(int(str(s._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for s in sources)
-    return df.coalesce(max(PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES)))
+    return df.coalesce(min(1 << 30, max(PER_CORE * df.sparkSession.sparkContext.defaultParallelism, -(-size // PARTITION_BYTES))))
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:

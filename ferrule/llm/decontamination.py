@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import let, order_id, held
+from ferrule.llm.common import held, let, order_id
 
 #: Template tokens a window; shorter items count as one window, with more than LEAST tokens.
 WINDOW, LEAST = 13, 8

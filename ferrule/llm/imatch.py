@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LAST_ID, let, order_id, held
+from ferrule.llm.common import LAST_ID, held, let, order_id
 
 #: The band: terms in at least LOW of the documents (two at least) and at most HIGH of them.
 #: At most (terms a document) / LOW terms can be in the band, whatever the corpus's size.
