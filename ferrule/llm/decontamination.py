@@ -25,8 +25,9 @@ BROADCAST = 200_000
 NUMBER, NAME, UNIT = "<num>", "<name>", "<unit>"
 #: Fixed word list: units that follow a number.
 UNITS = "mm|cm|m|km|inch|inches|feet|ft|mile|miles|g|kg|mg|lb|lbs|ton|tons|s|sec|seconds|min|minutes|h|hour|hours|day|days|week|weeks|month|months|year|years|l|ml|litres|liters|percent|dollars|dollar|euros|euro|cents|degrees|mph|kmh|%|$|€"
-_TOKEN = r"[\p{L}\p{M}\p{N}]+(?:[.,:][0-9]+)*|[%$€]"
-_NUMERIC = r"^[0-9]+(?:[.,:][0-9]+)*$"
+# loops over groups are possessive: they take no stack, however long the text
+_TOKEN = r"[\p{L}\p{M}\p{N}]+(?:[.,:][0-9]++)*+|[%$€]"
+_NUMERIC = r"^[0-9]++(?:[.,:][0-9]++)*+$"
 
 
 def _tokens(text: Column) -> Column:

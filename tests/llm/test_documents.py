@@ -356,3 +356,17 @@ def test_redaction(spark):
 
 def test_secret_scan_of_odd_rows(spark):
     assert secrets.secret_scan(D.frame(spark)).count() == len(D.rows())
+
+
+# --- very long texts -------------------------------------------------------------------
+
+
+def test_very_long_texts(spark):
+    """Whole long texts, with repetitions that would exhaust the stack of a backtracking pattern."""
+    texts = ["a_" * 150_000 + "1", "1.1." * 100_000, "password=" + "aB3" * 40_000, "x " * 200_000, "é" * 300_000]
+    docs = D.simple(spark, texts)
+    assert {r.doc_id: r.n_assign for r in secrets.secret_scan(docs).collect()} == {0: 0, 1: 0, 2: 1, 3: 0, 4: 0}
+    bench = spark.createDataFrame([(1, "one two three four five six seven eight nine ten")], BENCH)
+    assert decontamination.benchmark_decontamination(docs, bench).count() == 0
+    assert collected(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed") == [(0, 1, 0), (1, 1, 0), (2, 1, 0), (3, 200_000, 0), (4, 1, 0)]
+    assert simhash.simhash_near_dedup(docs).count() == langid.language_id(docs).count() == mixing.source_mixing(docs).count() == imatch.document_fingerprints(docs).count() == 5
