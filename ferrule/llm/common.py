@@ -17,8 +17,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 #: Bytes of input an output partition is worth, and partitions a core at least.
 PARTITION_BYTES, PER_CORE = 16 << 20, 2
-#: Results held at once; older ones are dropped and, if still wanted, computed anew.
-HELD = 96
+#: Results held at once, more than any one operator uses; older ones are dropped and, if still wanted, computed anew.
+HELD = 16
 _held: deque[DataFrame] = deque()
 
 

@@ -21,6 +21,8 @@ from ferrule.llm.common import WORD, held
 WEIGHTS, MOST = (1, 2, 3), 3
 #: Documents in a slice of the key range, on average.
 SLICE = 2048
+#: Sources (of 40 bytes and a name each) up to which their table is broadcast, so that a hot source isn't gathered; beyond, both sides are shuffled.
+BROADCAST = 100_000
 _KEYS = 1 << 60
 
 
@@ -63,7 +65,8 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     # a source with n documents has about n / SLICE slices
     slices = (F.floor(F.col("docs") / SLICE) + 1).cast("long")
     named = sources.select(F.col("source").alias("s"), "source_size", "target", slices.alias("slices"))
-    dealt = rows.join(named, F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("slices"))).cast("long"))
+    side = F.broadcast if sources.count() <= BROADCAST else (lambda x: x)
+    dealt = rows.join(side(named), F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("slices"))).cast("long"))
     dealt = held(dealt.drop("s", "slices"))
     sums = dealt.groupBy("source", "slice").agg(F.sum("size").alias("words"))
     before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
