@@ -62,6 +62,15 @@ def written(df: DataFrame, name: str, *sources: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """A checkpoint in the shared folder: cuts lineage as a written table does, for small results of loops."""
+    spark = df.sparkSession
+    folder = shared_dir(spark)
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(folder)
+    return df.checkpoint()
+
+
 def held(df: DataFrame) -> DataFrame:
     """The rows on the executors' disks, for results that are used more than once.
 

@@ -1,6 +1,6 @@
 """Connected components of an edge table, by alternating stars.
 
-Every round ends in a written table, so lineage stays short and a lost executor costs no
+Every round ends in a checkpoint, so lineage stays short and a lost executor costs no
 more than a round. A node with very many neighbours is a hot key:
 its least neighbour is found by a partial aggregate, and the join that hands it back
 has plain exchanges on both sides, which adaptive execution splits.
@@ -11,15 +11,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import held, written
+from ferrule.llm.common import cut, held
 
-#: Edges a partition of the tables that are written between rounds.
+#: Edges a partition of the checkpoints between rounds.
 EDGES = 250_000
 
 
 def _cut(edges: DataFrame, n: int) -> DataFrame:
-    """The rows as a written table of as many files as about n edges are worth."""
-    return written(edges.coalesce(n // EDGES + 1), "stars")
+    """The rows checkpointed in as many files as about n edges are worth."""
+    return cut(edges.coalesce(n // EDGES + 1))
 
 
 def components(edges: DataFrame) -> DataFrame:

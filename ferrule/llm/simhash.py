@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import held, order_id, small_batches, written
+from ferrule.llm.common import compact, cut, held, order_id, small_batches
 from ferrule.llm.components import components
 from ferrule.llm.substring_dedup import words_of
 
@@ -274,8 +274,8 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         return candidate_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), near)
 
     pairs = _buckets(classes.select("class", *narrow), keys, ["class", *narrow], link)
-    # written, so that the shuffle of the buckets, the largest by far, needn't be kept
-    pairs = written(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), "candidates", docs)
+    # cut, so that the shuffle of the buckets, the largest by far, needn't be kept
+    pairs = cut(compact(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
     side = lambda s: classes.select(F.col("class").alias(s), *(F.col(w).alias(f"{s}_{w}") for w in words))
     half = held(pairs.join(side("a"), "a"))
     differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
