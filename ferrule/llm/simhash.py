@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import compact, cut, held, order_id, small_batches
+from ferrule.llm.common import compact, cut, held, let, order_id, small_batches
 from ferrule.llm.components import components
 from ferrule.llm.substring_dedup import words_of
 
@@ -28,11 +28,12 @@ from ferrule.llm.substring_dedup import words_of
 RADIUS, SHINGLE, SEED = 4, 4, 42
 #: A bucket with more classes is covered again; with so few free bits it is compared in blocks.
 LEAF, LEAF_BITS = 512, 9
-#: Near-duplicates: sketches of WIDE x 64 bits, BLOCKS covered blocks of BLOCK bits within BLOCK_RADIUS; NARROW
-#: words of a sketch travel to the buckets and pass pairs of similarity CANDIDATE, all of it decides on SIMILARITY.
-WIDE, NARROW, BLOCKS, BLOCK, BLOCK_RADIUS, NEAR_SHINGLE, CANDIDATE, SIMILARITY = 16, 4, 3, 40, 5, 5, 0.7, 0.8
-#: Members of a bucket's group that are all paired; a larger group has a star and a path.
-PAIRS = 8
+#: Near-duplicates: words a shingle and least Jaccard similarity of the shingle sets.
+NEAR_SHINGLE, SIMILARITY = 5, 0.8
+#: 64-bit words of a set's parity bitmap, and texts of the sample by which shingles are ordered (any order is exact).
+PARITY, SAMPLED, FREQUENT = 8, 4000, 3
+#: Members of a bucket whose pairs are all taken at once; a larger one gives stars first, and then all pairs that these left apart.
+PAIRS = 32
 #: Primitive binary polynomials by degree (fixed values).
 PRIMITIVE = {1: 0b11, 2: 0b111, 3: 0b1011, 4: 0b10011, 5: 0b100101, 6: 0b1000011, 7: 0b10000011, 8: 0b100011101}
 _STEP = 1 << 11
@@ -160,21 +161,44 @@ def exact_links(values: np.ndarray, free: int, radius: int, forest: Forest, at:
                 exact_links(values, free & ~kept, radius, forest, part)
 
 
-def candidate_links(values: np.ndarray, within: int) -> list[tuple[int, int]]:
-    """Pairs of positions within the distance: each with the first of its group, the others leading in turn.
+def possible(block: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
+    """Which of the others may be similar to row i; columns are class, size and parity bitmap.
 
-    A group of at most PAIRS has all its pairs, a larger one a star and a path.
+    Two sets differ in at least as many shingles as their bitmaps in bits, so none that is similar fails.
     """
-    left, out = np.arange(len(values)), []
+    sizes, bits = block[:, 1], block[:, 2 : 2 + PARITY]
+    differing = _popcount((bits[others] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
+    least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
+    return (differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6) & (least >= similarity * most - 1e-6)
+
+
+def first_links(block: np.ndarray, similarity: float):
+    """Arrays of pairs of positions: all possible ones of a bucket of at most PAIRS.
+
+    A larger bucket gives each leader's possible partners, and each position with itself: `other_links` does the rest.
+    """
+    left = np.arange(len(block))
+    if len(block) > PAIRS:
+        yield np.stack([left, left], axis=1)
     while len(left) > 1:
-        near = _popcount(values[left] ^ values[left[0]]).sum(axis=1) <= within
-        group = left[near].tolist()
-        if len(group) <= PAIRS:
-            out += [(x, y) for i, x in enumerate(group) for y in group[i + 1 :]]
-        else:
-            out += [(group[0], y) for y in group[1:]] + list(zip(group[1:], group[2:], strict=False))
-        left = left[~near]
-    return out
+        near = possible(block, left[0], left[1:], similarity)
+        group = left[1:][near]
+        yield np.stack([np.full(len(group), left[0]), group], axis=1)
+        left = left[1:] if len(block) <= PAIRS else left[1:][~near]
+
+
+def other_links(block: np.ndarray, similarity: float):
+    """All possible pairs of positions whose last column, the component so far, differs."""
+    root = block[:, -1]
+    names, at, n = np.unique(root, return_inverse=True, return_counts=True)
+    outside = np.flatnonzero(at != n.argmax()) if len(names) > 1 else []
+    # one of the two is outside the largest component
+    is_outside = at != n.argmax()
+    every = np.arange(len(block))
+    for i in outside:
+        others = every[(root != root[i]) & ((every > i) | ~is_outside)]
+        others = others[possible(block, i, others, similarity)]
+        yield np.stack([np.minimum(i, others), np.maximum(i, others)], axis=1)
 
 
 def _bucket_edges(names: list[str], edges):
@@ -199,36 +223,51 @@ def _edges_of(rows: np.ndarray, names: list[str], edges):
     if len(rows) < 2:
         return
     starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1, [len(rows)]])
-    out = []
+    out, n = [], 0
+
+    def batch():
+        joined = np.concatenate(out)
+        cols = [pa.array(np.ascontiguousarray(joined[:, c])) for c in range(joined.shape[1])]
+        return pa.RecordBatch.from_arrays(cols, names=[f"{s}_{n}" for s in "ab" for n in names])
+
     for i in np.flatnonzero(np.diff(starts) > 1).tolist():
         block = rows[starts[i] : starts[i + 1], 2:]
-        out += [(block[x], block[y]) for x, y in edges(block)]
+        for found in edges(block):
+            if len(found):
+                out.append(np.concatenate([block[found[:, 0]], block[found[:, 1]]], axis=1))
+                n += len(found)
+            if n >= _STEP:
+                yield batch()
+                out, n = [], 0
     if out:
-        cols = [pa.array([e[side][k] for e in out], pa.int64()) for side in (0, 1) for k in range(len(names))]
-        yield pa.RecordBatch.from_arrays(cols, names=[f"{s}_{n}" for s in "ab" for n in names])
+        yield batch()
 
 
-def _buckets(classes: DataFrame, keys: list, names: list[str], link) -> DataFrame:
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys))))
-    rows = classes.select(*names, tables.alias("b")).select("b.t", "b.key", *names)
+def _met(rows: DataFrame, names: list[str], link) -> DataFrame:
+    """The pairs that `link` finds in the buckets of rows with t, key and the names."""
     rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", *names)
     return rows.mapInArrow(_bucket_edges(names, link), ", ".join(f"{s}_{n} long" for s in "ab" for n in names))
 
 
+def _buckets(classes: DataFrame, keys: list, names: list[str], link) -> DataFrame:
+    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys))))
+    return _met(classes.select(*names, tables.alias("b")).select("b.t", "b.key", *names), names, link)
+
+
 def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(f0, root): the class each fingerprint's component is named by, for those with a link."""
     every = (1 << 64) - 1
     kept = masks(64, radius).tolist()
 
     # a bucket doesn't tell which table it is of: what its members share is found from them
-    def link(block: np.ndarray) -> list[tuple[int, int]]:
+    def link(block: np.ndarray):
         values, forest = np.ascontiguousarray(block[:, 0]).view(np.uint64), Forest(len(block))
         if len(values) <= LEAF:
             exact_links(values, every, radius, forest, np.arange(len(values)))
         else:
             differing = int(np.bitwise_or.reduce(values ^ values[0]))
             exact_links(values, differing, radius, forest, np.arange(len(values)))
-        return forest.edges
+        yield np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
 
     keys = [F.col("f0").bitwiseAND(F.lit(_signed(m))) for m in kept]
     edges = _buckets(prints.select("f0").distinct(), keys, ["f0"], link)
@@ -251,36 +290,110 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), component.alias("component_id"))
 
 
+def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
+    """The distinct hashes of a whole text's shingles, sorted."""
+    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, size)]))
+
+
+def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles in FREQUENT or more texts of a sample of about SAMPLED, sorted, and in how many."""
+
+    def run(batches):
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], names=["token"])
+
+    one_in = max(1, texts.count() // SAMPLED)
+    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").distinct()
+    found = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
+    tokens, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
+    order = np.argsort(tokens)
+    return tokens[order], n[order]
+
+
+def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
+    """The rarest shingles of a set, as many as make sure that two similar sets have one of them in common."""
+    known, n = frequent
+    times = np.zeros(len(tokens), dtype=np.int64)
+    if len(known):
+        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
+        times = np.where(known[at] == tokens, n[at], 0)
+    return tokens[np.lexsort((tokens, times))[: len(tokens) - int(np.ceil(similarity * len(tokens) - 1e-9)) + 1]]
+
+
+def parity(tokens: np.ndarray) -> np.ndarray:
+    """A bitmap of 64 x PARITY bits: each is the parity of the number of shingles that fall on it."""
+    bits = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
+
+
+def _class_of(tokens: np.ndarray) -> int:
+    return _signed(xxhash.xxh64_intdigest(tokens.tobytes(), SEED))
+
+
+def _prefixes(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
+    """doc, tie, class (equal sets), n, b0.. (parity bitmap) and prefix of every row."""
+    small_batches(keyed.sparkSession)
+    frequent = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed, size))
+    bits = [f"b{k}" for k in range(PARITY)]
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
+            maps = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), dtype=np.int64)
+            made = [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
+            made += [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY)]
+            made.append(pa.array([prefix(s, frequent.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "tie", "class", "n", *bits, "prefix"])
+
+    return keyed.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie int, class long, n long, {', '.join(f'{b} long' for b in bits)}, prefix array<long>")
+
+
+def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
+    """The pairs (a, b) of classes whose shingle sets are similar, by their exact Jaccard similarity."""
+
+    def run(batches):
+        for batch in batches:
+            sets = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
+            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "tokens"])
+
+    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("one.doc", "one.tie")
+    sets = held(keyed.join(wanted, ["doc", "tie"]).select("text").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]))
+    side = lambda s: sets.select(F.col("class").alias(s), F.col("tokens").alias(f"{s}_tokens"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    total = F.size("a_tokens") + F.size("b_tokens")
+    like = let(F.size(F.array_intersect("a_tokens", "b_tokens")), lambda common: common / (total - common))
+    return held(both.where(like >= similarity).select("a", "b"))
+
+
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, tie, class, group_doc) of every row: groups of texts whose shingle similarity is estimated at `similarity` or more.
+    """(doc, tie, class, group_doc) of every row: groups of texts linked by a Jaccard similarity of their shingle sets of `similarity` or more.
 
-    Sketches of 64 x WIDE bits meet if one of BLOCKS blocks of BLOCK bits differs in at
-    most BLOCK_RADIUS bits (covering tables); they link if the whole sketches differ in
-    no more bits than the angle of that Jaccard similarity gives. doc is the id (null
-    greatest), tie tells apart texts under one id, group_doc is the smallest id of the
-    group and group_class the class that has it.
+    Sets meet at each of their rarest shingles (prefix filter), which no similar pair
+    escapes; pairs that sizes and parity bitmaps can't rule out are decided by the sets
+    themselves. In large buckets, pairs that the first links have already joined are not
+    looked at again; all others are. doc is the id (null greatest), tie tells apart texts
+    under one id, group_doc is the smallest id of the group and group_class the class that has it.
     """
-    words = [f"f{k}" for k in range(WIDE)]
-    narrow = words[:NARROW]
-    bits = lambda jaccard: float(np.arccos(2 * jaccard / (1 + jaccard)) / np.pi) * 64  # noqa: E731  expected in 64
+    columns = ["class", "n", *(f"b{k}" for k in range(PARITY))]
     keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    prints = held(sketches(keyed, "text", "doc", shingle, WIDE, ["tie"]).withColumn("class", F.xxhash64(*words)))
-    classes = held(prints.groupBy("class", *words).agg(F.min("doc").alias("least")))
-    low = (1 << BLOCK) - 1
-    keys = [F.col(narrow[b]).bitwiseAND(F.lit(_signed(m & low))) for b in range(BLOCKS) for m in masks(BLOCK, BLOCK_RADIUS).tolist()]
-    near = round(bits(CANDIDATE) * NARROW)
-
-    def link(block: np.ndarray) -> list[tuple[int, int]]:
-        return candidate_links(np.ascontiguousarray(block[:, 1:]).view(np.uint64), near)
-
-    pairs = _buckets(classes.select("class", *narrow), keys, ["class", *narrow], link)
-    # cut, so that the shuffle of the buckets, the largest by far, needn't be kept
-    pairs = cut(compact(pairs.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
-    side = lambda s: classes.select(F.col("class").alias(s), *(F.col(w).alias(f"{s}_{w}") for w in words))
-    half = held(pairs.join(side("a"), "a"))
-    differing = sum((F.bit_count(F.col(f"a_{w}").bitwiseXOR(F.col(f"b_{w}"))) for w in words), F.lit(0))
-    links = half.join(side("b"), "b").where(differing <= round(bits(similarity) * WIDE)).select("a", "b")
+    prints = held(_prefixes(keyed, shingle, similarity))
+    once = [F.first(c).alias(c) for c in [*columns[1:], "prefix"]]
+    classes = held(prints.groupBy("class").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "tie")).alias("one"), *once))
+
+    def meet(rows: DataFrame, names: list[str], links) -> DataFrame:
+        found = _met(rows.select(F.lit(0).alias("t"), F.explode("prefix").alias("key"), *names), names, lambda block: links(block, similarity))
+        # cut, so that the shuffle of the buckets, the largest by far, needn't be kept
+        return cut(compact(found.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
+
+    pairs = meet(classes, columns, first_links)
+    links = _similar(pairs.where("a <> b"), keyed, classes, shingle, similarity)
     roots = held(components(links))
+    crowded = pairs.where("a = b").select(F.col("a").alias("class"))
+    if not crowded.isEmpty():
+        rows = classes.join(crowded, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        more = meet(rows, [*columns, "root"], other_links).join(pairs, ["a", "b"], "left_anti")
+        roots = held(components(links.unionByName(_similar(more, keyed, classes, shingle, similarity))))
     rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
     named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))

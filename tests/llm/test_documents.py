@@ -272,6 +272,43 @@ def test_near_duplicates_keep_one_of_each_group(spark):
     assert sorted(r.doc for r in kept) == list(range(15))
 
 
+def jaccard_groups(texts, size=5, least=0.8):
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({" ".join(w[i : i + size]) for i in range(len(w) - size + 1)})
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= least * len(sets[i] | sets[j]):
+                a, b = root(i), root(j)
+                up[max(a, b)] = min(a, b)
+    return {root(i) for i in range(len(texts))}
+
+
+def test_pairs_among_many_texts_of_one_template_are_found(spark):
+    rnd = random.Random(9)
+    word = lambda: f"w{rnd.randint(0, 10**6)}"
+    template = [word() for _ in range(160)]
+    texts = [" ".join(template + [word() for _ in range(34)]) for _ in range(300)]
+    pairs = []
+    for t in rnd.sample(texts, 60):
+        words = t.split()
+        words[rnd.randint(165, 190)] = "edited"
+        pairs.append(" ".join(words))
+    texts += pairs
+    rnd.shuffle(texts)
+    want = jaccard_groups(texts)
+    assert len(want) == 300
+    assert {r.doc for r in simhash.representatives(D.simple(spark, texts)).collect()} == want
+
+
 # --- decontamination -------------------------------------------------------------------
 
 
