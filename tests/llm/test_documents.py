@@ -309,6 +309,19 @@ def test_pairs_among_many_texts_of_one_template_are_found(spark):
     assert {r.doc for r in simhash.representatives(D.simple(spark, texts)).collect()} == want
 
 
+def test_similarity_is_decided_exactly_at_the_bound(spark):
+    rnd = random.Random(10)
+    texts, want = [], 0
+    for k in range(80):
+        words = [f"w{rnd.randint(0, 10**6)}" for _ in range(104)]  # 100 shingles
+        new = 11 if k % 2 else 12  # 89 of 111 are 0.802, 88 of 112 are 0.786
+        texts += [" ".join(words), " ".join([f"x{rnd.randint(0, 10**6)}" for _ in range(new)] + words[new:])]
+        want += 1 if k % 2 else 2
+    found = jaccard_groups(texts)
+    assert len(found) == want
+    assert {r.doc for r in simhash.representatives(D.simple(spark, texts)).collect()} == found
+
+
 # --- decontamination -------------------------------------------------------------------
 
 
