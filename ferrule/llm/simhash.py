@@ -32,6 +32,8 @@ LEAF, LEAF_BITS = 512, 9
 NEAR_SHINGLE, SIMILARITY = 5, 0.8
 #: 64-bit words of a set's parity bitmap, and texts of the sample by which shingles are ordered (any order is exact).
 PARITY, SAMPLED, FREQUENT = 8, 4000, 3
+#: Ends of pairs to be compared up to which they are broadcast to the texts; beyond, both sides are shuffled.
+BROADCAST = 200_000
 #: Members of a bucket whose pairs are all taken at once; a larger one gives stars first, and then all pairs that these left apart.
 PAIRS = 32
 #: Primitive binary polynomials by degree (fixed values).
@@ -343,10 +345,11 @@ def _prefixes(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
             maps = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), dtype=np.int64)
             made = [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
             made += [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY)]
-            made.append(pa.array([prefix(s, frequent.value, similarity).view(np.int64) for s in sets], pa.list_(pa.int64())))
+            # half of a hash will do for a place to meet
+            made.append(pa.array([prefix(s, frequent.value, similarity).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "tie", "class", "n", *bits, "prefix"])
 
-    return keyed.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie int, class long, n long, {', '.join(f'{b} long' for b in bits)}, prefix array<long>")
+    return keyed.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie int, class long, n long, {', '.join(f'{b} long' for b in bits)}, prefix array<int>")
 
 
 def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -354,16 +357,26 @@ def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int,
 
     def run(batches):
         for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([s.view(np.int64) for s in sets], pa.list_(pa.int64()))], names=["class", "tokens"])
-
-    wanted = classes.join(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), "class").select("one.doc", "one.tie")
-    sets = held(keyed.join(wanted, ["doc", "tie"]).select("text").mapInArrow(run, "class long, tokens array<long>").dropDuplicates(["class"]))
-    side = lambda s: sets.select(F.col("class").alias(s), F.col("tokens").alias(f"{s}_tokens"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
+            sets = pa.array([shingle_set(t, size).view(np.int64) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["class", "pairs", "tokens"])
+
+    met = pairs.select(F.explode(F.array("a", "b")).alias("class"), F.struct("a", "b").alias("pair")).groupBy("class").agg(F.collect_list("pair").alias("pairs"))
+    wanted = held(classes.select("class", "one.doc", "one.tie").join(met, "class"))
+    near = F.broadcast if (wanted.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= BROADCAST else (lambda x: x)
+    # a set travels once to each of its pairs; repeated rows meet before that
+    sets = keyed.join(near(wanted), ["doc", "tie"]).select("class", "pairs", "text").mapInArrow(run, "class long, pairs array<struct<a:long,b:long>>, tokens array<long>")
+    side = lambda s: F.first(F.when(F.col("class") == F.col(s), F.col("tokens")), ignorenulls=True).alias(f"{s}_tokens")
+    both = sets.select("class", "tokens", F.explode("pairs").alias("pair")).select("class", "tokens", "pair.*").groupBy("a", "b").agg(side("a"), side("b"))
     total = F.size("a_tokens") + F.size("b_tokens")
     like = let(F.size(F.array_intersect("a_tokens", "b_tokens")), lambda common: common / (total - common))
-    return held(both.where(like >= similarity).select("a", "b"))
+    return _small(both.where(like >= similarity).select("a", "b"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """The rows cut from the shuffles they came through, whose files can go then."""
+    out = cut(df)
+    df.sparkSession.sparkContext._jvm.System.gc()
+    return out
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
@@ -384,7 +397,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     def meet(rows: DataFrame, names: list[str], links) -> DataFrame:
         found = _met(rows.select(F.lit(0).alias("t"), F.explode("prefix").alias("key"), *names), names, lambda block: links(block, similarity))
         # cut, so that the shuffle of the buckets, the largest by far, needn't be kept
-        return cut(compact(found.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
+        return _small(compact(found.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
 
     pairs = meet(classes, columns, first_links)
     links = _similar(pairs.where("a <> b"), keyed, classes, shingle, similarity)
