@@ -14,11 +14,14 @@ from pyspark.sql import functions as F
 
 from ferrule.llm.common import held, let, order_id
 
-#: Template tokens a window; shorter items count as one window, with more than LEAST tokens.
+#: Template tokens a window; items of LEAST tokens or fewer (two at least) are one window, matched as a whole.
 WINDOW, LEAST = 13, 8
-#: A document is contaminated by an item if it holds this share of the item's windows.
+#: Shorter windows for items of fewer tokens than the bound, so that one edited word leaves enough of them (from 11 tokens on).
+SHORTER = ((16, 5), (26, 8))
+#: A document is contaminated by an item if windows it holds cover this share of the item's tokens.
 SHARE = 0.5
-#: Literal (non-placeholder) tokens that a window must have, so that forms alone don't match.
+#: Literal (non-placeholder) tokens without which a window's slots must be equal word for word, so that forms
+#: alone don't match; one less in a shorter window.
 LITERALS = 5
 #: Windows (of 40 bytes each) up to which the benchmark side is broadcast; beyond, both sides are shuffled.
 BROADCAST = 200_000
@@ -80,29 +83,39 @@ def _pattern(values: Column) -> Column:
 
 
 def item_windows(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """(w, width, slots, item_id, at, windows, mine) of every window with enough literal tokens.
+    """(w, width, slots, item_id, at, windows, tokens, mine, loose, head) of every window of every item.
 
-    Equal windows of the same slot pattern are kept once, under the smallest item, so a
-    repeated item adds no rows to the join.
+    Items equal as a whole are kept once, under the smallest id. `loose` windows have
+    literals enough for other values in their slots; `head` is the first token of an
+    item that must be met as a whole, null for others.
     """
     tokens = benchmark.where(F.col("text").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), _tokens(F.col("text")).alias("raw"))
-    tokens = tokens.select("item_id", "raw", _template(F.col("raw")).alias("template")).where(F.size("raw") > LEAST)
+    tokens = tokens.where(F.size("raw") > 1).groupBy("raw").agg(F.min("item_id").alias("item_id")).withColumn("template", _template(F.col("raw")))
+    head = F.when(F.size("raw") <= LEAST, _plain(F.get("raw", F.lit(0)))).alias("head")
     # whether an item's first word counts as a name depends on what stands before it
-    tokens = tokens.select("item_id", *(F.slice(c, F.lit(2), F.size(c) - 1).alias(c) for c in ("raw", "template")))
-    width = F.least(F.size("raw"), F.lit(window))
+    tokens = tokens.select("item_id", head, *(F.slice(c, F.lit(2), F.size(c) - 1).alias(c) for c in ("raw", "template")))
+    width = F.when(F.col("head").isNotNull(), F.size("raw"))
+    for most, shorter in SHORTER:
+        width = width.when(F.size("raw") <= most, min(shorter, window))
+    width = F.least(width.otherwise(window), F.size("raw"))
     at = F.explode(F.sequence(F.lit(0), F.size("raw") - width))
-    rows = tokens.select("item_id", "raw", "template", width.alias("width"), (F.size("raw") - width + 1).alias("windows"), at.alias("at"))
+    rows = tokens.select("item_id", "head", "raw", "template", width.alias("width"), (F.size("raw") - width + 1).alias("windows"), F.size("raw").alias("tokens"), at.alias("at"))
     part = F.slice("template", F.col("at") + 1, F.col("width"))
     literal = F.size(F.filter(part, lambda x: F.substring(x, 1, 1) != "<"))
-    rows = rows.where(literal >= LITERALS).select(F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("w"), "width", "item_id", "at", "windows", _values(F.col("template"), F.col("raw"), F.col("at"), F.col("width")).alias("mine"))
-    rows = rows.withColumn("slots", let(F.col("mine"), _pattern))
-    return rows.groupBy("w", "width", "slots").agg(F.min(F.struct("item_id", "at", "windows", "mine")).alias("i")).select("w", "width", "slots", "i.*")
+    loose = literal >= F.when(F.col("width") < window, LITERALS - 1).otherwise(LITERALS)
+    mine = _values(F.col("template"), F.col("raw"), F.col("at"), F.col("width")).alias("mine")
+    rows = rows.select(F.xxhash64(F.transform(part, lambda x: F.xxhash64(x))).alias("w"), "width", "item_id", "at", "windows", "tokens", mine, loose.alias("loose"), "head")
+    return rows.withColumn("slots", let(F.col("mine"), _pattern))
+
+
+def _plain(token: Column) -> Column:
+    return F.lower(F.ltrim(token, F.lit("^")))
 
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc, tie, item_id, n_hits, windows, share): consistent window hits of each document and item."""
+    """(doc, tie, item_id, n_hits, windows, share): consistent window hits of each document and item, and the share of its tokens they cover."""
     items = held(item_windows(benchmark))
-    widths = [r["width"] for r in items.select("width").distinct().collect()]  # WINDOW - LEAST + 1 values at most
+    widths = [r["width"] for r in items.select("width").distinct().collect()]  # those of SHORTER, WINDOW and LEAST - 1 at most
     near = F.broadcast if items.count() <= BROADCAST else (lambda x: x)
     keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
     windows = F.flatten(F.array(*(_placed(F.col("hashes"), w) for w in sorted(widths)))) if widths else F.array().cast("array<struct<w:bigint,width:int,at:int>>")
@@ -112,16 +125,20 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
     per_doc = met.groupBy("doc", "tie").agg(F.collect_list(F.struct("w", "width", "at")).alias("met"))
     filled = keyed.join(per_doc, ["doc", "tie"]).select("doc", "tie", "met", _tokens(F.col("text")).alias("raw")).dropDuplicates(["doc", "tie"])
     filled = filled.select("doc", "tie", "met", "raw", _template(F.col("raw")).alias("template"))
-    valued = F.transform("met", lambda m: F.struct(m["w"].alias("w"), m["width"].alias("width"), m["at"].alias("place"), _values(F.col("template"), F.col("raw"), m["at"], m["width"]).alias("theirs")))
+    valued = F.transform("met", lambda m: F.struct(m["w"].alias("w"), m["width"].alias("width"), m["at"].alias("place"), _values(F.col("template"), F.col("raw"), m["at"], m["width"]).alias("theirs"), F.when(m["at"] > 0, _plain(F.get(F.col("raw"), m["at"] - 1))).alias("before")))
     filled = filled.select("doc", "tie", F.explode(valued).alias("x")).select("doc", "tie", "x.*").withColumn("slots", let(F.col("theirs"), _pattern))
     # windows at one distance from their places in the item are one occurrence of it; each
     # value of the item must stand for one value of the document there, and the other way round
     pairs = F.zip_with("mine", "theirs", lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-    found = filled.join(items, ["w", "width", "slots"]).groupBy("doc", "tie", "item_id", "windows", (F.col("place") - F.col("at")).alias("shift"))
+    same = (F.col("loose") | (F.col("mine") == F.col("theirs"))) & (F.col("head").isNull() | F.coalesce(F.col("head") == F.col("before"), F.lit(False)))
+    # the items are broadcast here too: a window of very many of them makes no hot key
+    found = filled.join(near(items), ["w", "width", "slots"]).where(same).groupBy("doc", "tie", "item_id", "windows", "tokens", "width", (F.col("place") - F.col("at")).alias("shift"))
     found = found.agg(F.collect_set("at").alias("ats"), F.array_distinct(F.flatten(F.collect_set(pairs))).alias("pairs"))  # of one item's length at most
     alone = lambda side: F.size(F.array_distinct(F.transform("pairs", lambda p: p[side]))) == F.size("pairs")
-    hit = found.where(alone("a") & alone("b")).select("doc", "tie", "item_id", "windows", F.explode("ats").alias("at"))
-    return hit.groupBy("doc", "tie", "item_id").agg(F.countDistinct("at").alias("n_hits"), F.max("windows").cast("long").alias("windows")).withColumn("share", F.col("n_hits") / F.col("windows"))
+    hit = found.where(alone("a") & alone("b")).groupBy("doc", "tie", "item_id", "windows", "tokens", "width").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("ats")))).alias("ats"))
+    # tokens of the item that its windows cover: each adds what the one before it left
+    covered = F.aggregate(F.transform("ats", lambda x, i: F.least(F.col("width"), F.when(i > 0, x - F.get("ats", i - 1)).otherwise(F.col("width")))), F.lit(0), lambda n, x: n + x)
+    return hit.select("doc", "tie", "item_id", F.size("ats").cast("long").alias("n_hits"), F.col("windows").cast("long").alias("windows"), (covered / F.col("tokens")).alias("share"))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -135,7 +152,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def benchmark_decontamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """Operator 5: doc_id, item_id, n_hits, windows, share of each contaminated pair.
 
-    Null texts match nothing; items of LEAST tokens or fewer are left out; copies of
+    Null texts match nothing; items of one token are left out; copies of
     an item count under the smallest item_id; repeated rows give one pair; empty
     tables give no rows; other columns are ignored.
     """

@@ -346,6 +346,41 @@ def test_decontamination_of_odd_rows(spark):
     assert got == want
 
 
+def leaked(spark, texts, items):
+    bench = spark.createDataFrame(list(enumerate(items)), BENCH)
+    return {(r.doc_id, r.item_id) for r in decontamination.benchmark_decontamination(D.simple(spark, texts), bench).collect()}
+
+
+def words(rnd, n):
+    return " ".join("".join(rnd.choice("abcdefghij") for _ in range(6)) for _ in range(n))
+
+
+def test_items_with_a_common_preamble_or_repeats_are_found(spark):
+    rnd = random.Random(11)
+    preamble = words(rnd, 40)
+    items = [f"{preamble} {words(rnd, n)}" for n in (100, 15)] + [" ".join([words(rnd, 14)] * 4)]
+    got = leaked(spark, [f"see {items[1]} here", f"see {items[2]} here", f"see {items[0]} here"], items)
+    assert {(0, 1), (1, 2), (2, 0)} <= got
+
+
+def test_items_of_few_literals_and_short_items_are_found(spark):
+    items = ["add 3 kg 4 kg 5 kg 6 kg 7 kg 8 kg and 9 kg", "who wrote hamlet"]
+    texts = [f"now {items[0]} please", "now add 1 kg 2 kg 1 kg 5 kg 1 kg 2 kg and 1 kg please", "say who wrote hamlet then", "say they wrote hamlet then"]
+    assert leaked(spark, texts, items) == {(0, 0), (2, 1)}
+
+
+def test_one_edited_word_and_long_excerpts_are_found(spark):
+    rnd = random.Random(12)
+    items = [words(rnd, n) for n in (59, 38, 27, 20, 13)]
+    edited = []
+    for item in items:
+        w = item.split()
+        w[len(w) // 2] = "edited"
+        edited.append(f"before {' '.join(w)} after")
+    got = leaked(spark, [*edited, " ".join(items[0].split()[10:41]), " ".join(items[0].split()[:20])], items)
+    assert got == {(i, i) for i in range(5)} | {(5, 0)}
+
+
 # --- secrets ---------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
