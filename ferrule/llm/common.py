@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
-from collections import deque
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,9 +17,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 LAST_ID = (1 << 63) - 1
 #: Bytes of input an output partition is worth, and partitions a core at least.
 PARTITION_BYTES, PER_CORE = 16 << 20, 2
-#: Results held at once, more than any one operator uses; older ones are dropped and, if still wanted, computed anew.
-HELD = 16
-_held: deque[DataFrame] = deque()
+_held: dict[str, list[DataFrame]] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -32,9 +30,11 @@ def order_id(name: str = "doc_id") -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share; one of our own only where the session names none."""
+    """The folder all executors share; one of our own only in local mode, where the session names none."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.fullmatch(r"local(\[[^,]*(,\d+)?\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="ferrule-")
         spark.sparkContext.setCheckpointDir(found)
     return found
@@ -63,30 +63,41 @@ def written(df: DataFrame, name: str, *sources: DataFrame) -> DataFrame:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A checkpoint in the shared folder: cuts lineage as a written table does, for small results of loops."""
+    """A checkpoint in the shared folder: cuts lineage as a written table does, for small results of loops.
+
+    Its files go with the session, or earlier where Spark cleans checkpoints that nobody refers to.
+    """
     spark = df.sparkSession
     folder = shared_dir(spark)
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint()
+    out = df.checkpoint()
+    atexit.register(_remove, spark, out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
 
 
 def held(df: DataFrame) -> DataFrame:
-    """The rows on the executors' disks, for results that are used more than once.
+    """The rows on the executors' disks, for results that are used more than once, until `release`.
 
     What a lost executor held is computed anew from its lineage, which is short. Both
     sides of a join are held first where a key may be hot, so that adaptive execution
     sees plain exchanges and can split the large partitions.
     """
-    _held.append(df.persist(StorageLevel.DISK_ONLY))
-    if len(_held) > HELD:
-        try:
-            _held.popleft().unpersist()
-        except Exception:  # its session has ended
-            pass
+    _held.setdefault(df.sparkSession.sparkContext.applicationId, []).append(df.persist(StorageLevel.DISK_ONLY))
     return df
 
 
+def release(spark: SparkSession) -> None:
+    """Lets go of all held results; for when what was made of them is written. What still needs one computes it anew."""
+    for df in _held.pop(spark.sparkContext.applicationId, []):
+        df.unpersist()
+
+
+def packed(docs: DataFrame, **more: Column) -> DataFrame:
+    """The whole row as the struct `row` and further columns, so that no name clashes with the table's; `row.*` unpacks it."""
+    return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(value.alias(name) for name, value in more.items()))
+
+
 def compact(df: DataFrame, *sources: DataFrame) -> DataFrame:
     """At most one partition for PARTITION_BYTES of the sources' files, so that small inputs don't end in very many small files.
 

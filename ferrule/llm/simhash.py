@@ -6,7 +6,7 @@ of any r differing bits miss some t altogether, so every pair within the radius
 on all bits that table t keeps: no pair within the radius is lost. Equal fingerprints
 are one class. Classes meet in a table's bucket; a bucket gives a spanning forest of
 its links, never all its pairs, and one with more than LEAF classes is covered again on
-the bits its table left out, until at most 2^LEAF_BITS classes can differ in what is left.
+the bits its table left out (a very large one by the plan, into buckets of their own), until at most 2^LEAF_BITS classes can differ in what is left.
 """
 
 from __future__ import annotations
@@ -16,26 +16,19 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ferrule.llm.common import compact, cut, held, let, order_id, small_batches
+from ferrule.llm.common import held, order_id, small_batches
 from ferrule.llm.components import components
 from ferrule.llm.substring_dedup import words_of
 
 #: The contract's radius over 64 bits, shingle and seed.
 RADIUS, SHINGLE, SEED = 4, 4, 42
+#: Fingerprints of a bucket above which it is covered again by the plan, and dealt to more tasks.
+BUCKET = 65_536
 #: A bucket with more classes is covered again; with so few free bits it is compared in blocks.
 LEAF, LEAF_BITS = 512, 9
-#: Near-duplicates: words a shingle and least Jaccard similarity of the shingle sets.
-NEAR_SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of a set's parity bitmap, and texts of the sample by which shingles are ordered (any order is exact).
-PARITY, SAMPLED, FREQUENT = 8, 4000, 3
-#: Ends of pairs to be compared up to which they are broadcast to the texts; beyond, both sides are shuffled.
-BROADCAST = 200_000
-#: Members of a bucket whose pairs are all taken at once; a larger one gives stars first, and then all pairs that these left apart.
-PAIRS = 32
 #: Primitive binary polynomials by degree (fixed values).
 PRIMITIVE = {1: 0b11, 2: 0b111, 3: 0b1011, 4: 0b10011, 5: 0b100101, 6: 0b1000011, 7: 0b10000011, 8: 0b100011101}
 _STEP = 1 << 11
@@ -89,40 +82,30 @@ def _ones(mixed: np.ndarray) -> np.ndarray:
     return out
 
 
-def sketch(text: str | None, size: int = SHINGLE, wide: int = 1) -> list[int]:
-    """`wide` 64-bit SimHashes of a text: a bit is 1 if set in over half its shingles' hashes."""
-    ones, n = np.zeros(64 * wide, dtype=np.int64), 0
-    multiplier = np.uint64(0xD6E8FEB86659FD93)
-    seeds = np.arange(1, wide, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    for hashes in shingle_hashes(text, size):
+def fingerprint(parts) -> int:
+    """The 64-bit SimHash of hashes given by parts: a bit is 1 if set in over half of them."""
+    ones, n = np.zeros(64, dtype=np.int64), 0
+    for hashes in parts:
         n += len(hashes)
         for i in range(0, len(hashes), _STEP):
-            part = hashes[i : i + _STEP].reshape(-1, 1)
-            if wide > 1:
-                more = (part ^ seeds) * multiplier
-                more = (more ^ (more >> np.uint64(32))) * multiplier
-                part = np.concatenate([part, more ^ (more >> np.uint64(29))], axis=1)
-            ones += _ones(np.ascontiguousarray(part))
-    weights = np.uint64(1) << np.arange(64, dtype=np.uint64)
-    return [int(x) for x in ((2 * ones > n).reshape(wide, 64) * weights).sum(axis=1, dtype=np.uint64)]
+            ones += _ones(np.ascontiguousarray(hashes[i : i + _STEP].reshape(-1, 1)))
+    return int(((2 * ones > n) * (np.uint64(1) << np.arange(64, dtype=np.uint64))).sum(dtype=np.uint64))
 
 
-def _signed(x: int) -> int:
+def signed(x: int) -> int:
     return x - (1 << 64) if x >> 63 else x
 
 
-def sketches(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE, wide: int = 1, carried: list[str] | None = None) -> DataFrame:
-    """The id, the carried columns and f0.. (64 bits each, as longs) of every row's whole text."""
+def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size: int = SHINGLE) -> DataFrame:
+    """The id and f0 (64 bits, as a long) of every row's whole text."""
     small_batches(docs.sparkSession)
-    src = docs.select(F.col(key).cast("long").alias(key), *(carried or []), F.col(text).alias("__text"))
-    schema = T.StructType([*src.schema.fields[:-1], *(T.StructField(f"f{k}", T.LongType()) for k in range(wide))])
 
     def run(batches):
         for batch in batches:
-            found = [sketch(t, size, wide) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *(pa.array([_signed(f[k]) for f in found], pa.int64()) for k in range(wide))], names=schema.names)
+            f0 = [signed(fingerprint(shingle_hashes(t, size))) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(f0, pa.int64())], names=[key, "f0"])
 
-    return src.mapInArrow(run, schema)
+    return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` long, f0 long")
 
 
 class Forest:
@@ -163,117 +146,83 @@ def exact_links(values: np.ndarray, free: int, radius: int, forest: Forest, at:
                 exact_links(values, free & ~kept, radius, forest, part)
 
 
-def possible(block: np.ndarray, i: int, others: np.ndarray, similarity: float) -> np.ndarray:
-    """Which of the others may be similar to row i; columns are class, size and parity bitmap.
-
-    Two sets differ in at least as many shingles as their bitmaps in bits, so none that is similar fails.
-    """
-    sizes, bits = block[:, 1], block[:, 2 : 2 + PARITY]
-    differing = _popcount((bits[others] ^ bits[i]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-    least, most = np.minimum(sizes[others], sizes[i]), np.maximum(sizes[others], sizes[i])
-    return (differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6) & (least >= similarity * most - 1e-6)
+_BUCKET = ["t", "t2", "key", "key2"]
 
 
-def first_links(block: np.ndarray, similarity: float):
-    """Arrays of pairs of positions: all possible ones of a bucket of at most PAIRS.
-
-    A larger bucket gives each leader's possible partners, and each position with itself: `other_links` does the rest.
-    """
-    left = np.arange(len(block))
-    if len(block) > PAIRS:
-        yield np.stack([left, left], axis=1)
-    while len(left) > 1:
-        near = possible(block, left[0], left[1:], similarity)
-        group = left[1:][near]
-        yield np.stack([np.full(len(group), left[0]), group], axis=1)
-        left = left[1:] if len(block) <= PAIRS else left[1:][~near]
-
-
-def other_links(block: np.ndarray, similarity: float):
-    """All possible pairs of positions whose last column, the component so far, differs."""
-    root = block[:, -1]
-    names, at, n = np.unique(root, return_inverse=True, return_counts=True)
-    outside = np.flatnonzero(at != n.argmax()) if len(names) > 1 else []
-    # one of the two is outside the largest component
-    is_outside = at != n.argmax()
-    every = np.arange(len(block))
-    for i in outside:
-        others = every[(root != root[i]) & ((every > i) | ~is_outside)]
-        others = others[possible(block, i, others, similarity)]
-        yield np.stack([np.minimum(i, others), np.maximum(i, others)], axis=1)
-
-
-def _bucket_edges(names: list[str], edges):
-    """A function over batches sorted by (t, key): the pairs of rows that `edges` finds in each bucket."""
+def _bucket_edges(radius: int):
+    """A function over batches sorted by bucket: a spanning forest of the links in each."""
 
     def run(batches):
-        held = None
+        kept = None
         for batch in batches:
-            part = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in ["t", "key", *names]], axis=1)
-            held = part if held is None else np.concatenate([held, part])
-            last = len(held) and np.flatnonzero((held[:, :2] != held[-1, :2]).any(axis=1))
-            cut = int(last[-1]) + 1 if len(held) and len(last) else 0  # the last bucket may go on
-            yield from _edges_of(held[:cut], names, edges)
-            held = held[cut:]
-        if held is not None:
-            yield from _edges_of(held, names, edges)
+            part = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in [*_BUCKET, "f0"]], axis=1)
+            kept = part if kept is None else np.concatenate([kept, part])
+            last = len(kept) and np.flatnonzero((kept[:, :4] != kept[-1, :4]).any(axis=1))
+            cut = int(last[-1]) + 1 if len(kept) and len(last) else 0  # the last bucket may go on
+            yield from _forests(kept[:cut], radius)
+            kept = kept[cut:]
+        if kept is not None:
+            yield from _forests(kept, radius)
 
     return run
 
 
-def _edges_of(rows: np.ndarray, names: list[str], edges):
+def _forests(rows: np.ndarray, radius: int):
     if len(rows) < 2:
         return
-    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1, [len(rows)]])
-    out, n = [], 0
+    values = np.ascontiguousarray(rows[:, 4]).view(np.uint64)
+    starts = np.concatenate([[0], np.flatnonzero((rows[1:, :4] != rows[:-1, :4]).any(axis=1)) + 1, [len(rows)]])
+    found: list[tuple[int, int]] = []
+    for i in np.flatnonzero(np.diff(starts) > 1).tolist():
+        part = values[starts[i] : starts[i + 1]]
+        forest = Forest(len(part))
+        # a bucket doesn't tell which bits its table keeps: what its members share is found from them
+        exact_links(part, int(np.bitwise_or.reduce(part ^ part[0])), radius, forest, np.arange(len(part)))
+        found += [(int(starts[i]) + x, int(starts[i]) + y) for x, y in forest.edges]
+        if len(found) >= _STEP:
+            yield _batch(values, found)
+            found = []
+    if found:
+        yield _batch(values, found)
 
-    def batch():
-        joined = np.concatenate(out)
-        cols = [pa.array(np.ascontiguousarray(joined[:, c])) for c in range(joined.shape[1])]
-        return pa.RecordBatch.from_arrays(cols, names=[f"{s}_{n}" for s in "ab" for n in names])
 
-    for i in np.flatnonzero(np.diff(starts) > 1).tolist():
-        block = rows[starts[i] : starts[i + 1], 2:]
-        for found in edges(block):
-            if len(found):
-                out.append(np.concatenate([block[found[:, 0]], block[found[:, 1]]], axis=1))
-                n += len(found)
-            if n >= _STEP:
-                yield batch()
-                out, n = [], 0
-    if out:
-        yield batch()
+def _batch(values: np.ndarray, found: list[tuple[int, int]]) -> pa.RecordBatch:
+    ends = values[np.array(found)].view(np.int64)
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(ends[:, k])) for k in (0, 1)], names=["a", "b"])
+
 
+def _longs(numbers) -> Column:
+    return F.expr("array(" + ", ".join(f"{signed(int(x))}L" if signed(int(x)) > -(1 << 63) else "(-9223372036854775807L - 1L)" for x in numbers) + ")")
 
-def _met(rows: DataFrame, names: list[str], link) -> DataFrame:
-    """The pairs that `link` finds in the buckets of rows with t, key and the names."""
-    rows = rows.repartition("t", "key").sortWithinPartitions("t", "key", *names)
-    return rows.mapInArrow(_bucket_edges(names, link), ", ".join(f"{s}_{n} long" for s in "ab" for n in names))
 
+def covering_edges(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """(a, b): links between fingerprints f0 that connect all within the radius of each other.
 
-def _buckets(classes: DataFrame, keys: list, names: list[str], link) -> DataFrame:
-    tables = F.explode(F.array(*(F.struct(F.lit(t).alias("t"), k.alias("key")) for t, k in enumerate(keys))))
-    return _met(classes.select(*names, tables.alias("b")).select("b.t", "b.key", *names), names, link)
+    A bucket of more than BUCKET fingerprints is covered again on the bits that its
+    table leaves out and so dealt to many tasks; the union of the new buckets' forests
+    connects what the bucket's would.
+    """
+    kept = masks(64, radius)
+    values = prints.select("f0").distinct()
+    rows = values.select("f0", F.posexplode(F.transform(_longs(kept), lambda m: F.col("f0").bitwiseAND(m))).alias("t", "key"))
+    zero = [F.lit(0).alias("t2"), F.lit(0).cast("long").alias("key2")]
+    large = held(rows.groupBy("t", "key").agg(F.count("*").alias("n")).where(F.col("n") > BUCKET).select("t", "key"))
+    dealt = rows.select("f0", "t", "key", *zero)
+    if not large.isEmpty():
+        again = []
+        for mask in kept.tolist():
+            places = [i for i in range(64) if not mask >> i & 1]
+            again.append(_longs([sum(1 << p for i, p in enumerate(places) if m >> i & 1) for m in masks(len(places), radius).tolist()]))
+        finer = F.posexplode(F.transform(F.get(F.array(*again), F.col("t")), lambda m: F.col("f0").bitwiseAND(m))).alias("t2", "key2")
+        split = rows.join(large, ["t", "key"]).select("f0", "t", "key", finer).select("f0", "t", "key", (F.col("t2") + 1).alias("t2"), "key2")
+        dealt = rows.join(large, ["t", "key"], "left_anti").select("f0", "t", "key", *zero).unionByName(split)
+    dealt = dealt.repartition(*_BUCKET).sortWithinPartitions(*_BUCKET, "f0")
+    return dealt.mapInArrow(_bucket_edges(radius), "a long, b long")
 
 
 def near_classes(prints: DataFrame, radius: int = RADIUS) -> DataFrame:
     """(f0, root): the class each fingerprint's component is named by, for those with a link."""
-    every = (1 << 64) - 1
-    kept = masks(64, radius).tolist()
-
-    # a bucket doesn't tell which table it is of: what its members share is found from them
-    def link(block: np.ndarray):
-        values, forest = np.ascontiguousarray(block[:, 0]).view(np.uint64), Forest(len(block))
-        if len(values) <= LEAF:
-            exact_links(values, every, radius, forest, np.arange(len(values)))
-        else:
-            differing = int(np.bitwise_or.reduce(values ^ values[0]))
-            exact_links(values, differing, radius, forest, np.arange(len(values)))
-        yield np.array(forest.edges, dtype=np.int64).reshape(-1, 2)
-
-    keys = [F.col("f0").bitwiseAND(F.lit(_signed(m))) for m in kept]
-    edges = _buckets(prints.select("f0").distinct(), keys, ["f0"], link)
-    return components(edges.select(F.col("a_f0").alias("a"), F.col("b_f0").alias("b"))).select(F.col("node").alias("f0"), "root")
+    return components(covering_edges(prints, radius)).select(F.col("node").alias("f0"), "root")
 
 
 def simhash_near_dedup(docs: DataFrame) -> DataFrame:
@@ -283,137 +232,10 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
     null id counts as greater than every other; repeated rows give repeated rows; an
     empty table gives no rows; other columns are ignored.
     """
-    prints = held(sketches(docs))
+    prints = held(fingerprints(docs))
     classes = prints.groupBy("f0").agg(F.min(order_id()).alias("least"))
     rooted = held(classes.join(held(near_classes(prints)), "f0", "left").select("f0", "least", F.coalesce("root", "f0").alias("root")))
     named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f0", "component_id")
     out = prints.join(held(named), "f0")
     component = F.when((F.col("component_id") == F.lit((1 << 63) - 1)) & F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), component.alias("component_id"))
-
-
-def shingle_set(text: str | None, size: int = NEAR_SHINGLE) -> np.ndarray:
-    """The distinct hashes of a whole text's shingles, sorted."""
-    return np.unique(np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, size)]))
-
-
-def _frequent(texts: DataFrame, size: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles in FREQUENT or more texts of a sample of about SAMPLED, sorted, and in how many."""
-
-    def run(batches):
-        for batch in batches:
-            for text in batch.column(0).to_pylist():
-                yield pa.RecordBatch.from_arrays([pa.array(shingle_set(text, size).view(np.int64))], names=["token"])
-
-    one_in = max(1, texts.count() // SAMPLED)
-    sample = texts.where(F.pmod(F.xxhash64("text"), F.lit(one_in)) == 0).select("text").distinct()
-    found = sample.mapInArrow(run, "token long").groupBy("token").agg(F.count("*").cast("int").alias("n")).where(F.col("n") >= FREQUENT).toArrow()
-    tokens, n = found.column("token").to_numpy().view(np.uint64), found.column("n").to_numpy()
-    order = np.argsort(tokens)
-    return tokens[order], n[order]
-
-
-def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similarity: float) -> np.ndarray:
-    """The rarest shingles of a set, as many as make sure that two similar sets have one of them in common."""
-    known, n = frequent
-    times = np.zeros(len(tokens), dtype=np.int64)
-    if len(known):
-        at = np.minimum(np.searchsorted(known, tokens), len(known) - 1)
-        times = np.where(known[at] == tokens, n[at], 0)
-    return tokens[np.lexsort((tokens, times))[: len(tokens) - int(np.ceil(similarity * len(tokens) - 1e-9)) + 1]]
-
-
-def parity(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 x PARITY bits: each is the parity of the number of shingles that fall on it."""
-    bits = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
-    return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
-
-
-def _class_of(tokens: np.ndarray) -> int:
-    return _signed(xxhash.xxh64_intdigest(tokens.tobytes(), SEED))
-
-
-def _prefixes(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc, tie, class (equal sets), n, b0.. (parity bitmap) and prefix of every row."""
-    small_batches(keyed.sparkSession)
-    frequent = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed, size))
-    bits = [f"b{k}" for k in range(PARITY)]
-
-    def run(batches):
-        for batch in batches:
-            sets = [shingle_set(t, size) for t in batch.column(2).to_pylist()]
-            maps = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), dtype=np.int64)
-            made = [pa.array([_class_of(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int64())]
-            made += [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY)]
-            # half of a hash will do for a place to meet
-            made.append(pa.array([prefix(s, frequent.value, similarity).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "tie", "class", "n", *bits, "prefix"])
-
-    return keyed.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie int, class long, n long, {', '.join(f'{b} long' for b in bits)}, prefix array<int>")
-
-
-def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
-    """The pairs (a, b) of classes whose shingle sets are similar, by their exact Jaccard similarity."""
-
-    def run(batches):
-        for batch in batches:
-            sets = pa.array([shingle_set(t, size).view(np.int64) for t in batch.column(2).to_pylist()], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), sets], names=["class", "pairs", "tokens"])
-
-    met = pairs.select(F.explode(F.array("a", "b")).alias("class"), F.struct("a", "b").alias("pair")).groupBy("class").agg(F.collect_list("pair").alias("pairs"))
-    wanted = held(classes.select("class", "one.doc", "one.tie").join(met, "class"))
-    near = F.broadcast if (wanted.agg(F.sum(F.size("pairs"))).first()[0] or 0) <= BROADCAST else (lambda x: x)
-    # a set travels once to each of its pairs; repeated rows meet before that
-    sets = keyed.join(near(wanted), ["doc", "tie"]).select("class", "pairs", "text").mapInArrow(run, "class long, pairs array<struct<a:long,b:long>>, tokens array<long>")
-    side = lambda s: F.first(F.when(F.col("class") == F.col(s), F.col("tokens")), ignorenulls=True).alias(f"{s}_tokens")
-    both = sets.select("class", "tokens", F.explode("pairs").alias("pair")).select("class", "tokens", "pair.*").groupBy("a", "b").agg(side("a"), side("b"))
-    total = F.size("a_tokens") + F.size("b_tokens")
-    like = let(F.size(F.array_intersect("a_tokens", "b_tokens")), lambda common: common / (total - common))
-    return _small(both.where(like >= similarity).select("a", "b"))
-
-
-def _small(df: DataFrame) -> DataFrame:
-    """The rows cut from the shuffles they came through, whose files can go then."""
-    out = cut(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
-
-
-def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = NEAR_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
-    """(doc, tie, class, group_doc) of every row: groups of texts linked by a Jaccard similarity of their shingle sets of `similarity` or more.
-
-    Sets meet at each of their rarest shingles (prefix filter), which no similar pair
-    escapes; pairs that sizes and parity bitmaps can't rule out are decided by the sets
-    themselves. In large buckets, pairs that the first links have already joined are not
-    looked at again; all others are. doc is the id (null greatest), tie tells apart texts
-    under one id, group_doc is the smallest id of the group and group_class the class that has it.
-    """
-    columns = ["class", "n", *(f"b{k}" for k in range(PARITY))]
-    keyed = docs.select(order_id(key).alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    prints = held(_prefixes(keyed, shingle, similarity))
-    once = [F.first(c).alias(c) for c in [*columns[1:], "prefix"]]
-    classes = held(prints.groupBy("class").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "tie")).alias("one"), *once))
-
-    def meet(rows: DataFrame, names: list[str], links) -> DataFrame:
-        found = _met(rows.select(F.lit(0).alias("t"), F.explode("prefix").alias("key"), *names), names, lambda block: links(block, similarity))
-        # cut, so that the shuffle of the buckets, the largest by far, needn't be kept
-        return _small(compact(found.select(F.col("a_class").alias("a"), F.col("b_class").alias("b")).distinct(), docs))
-
-    pairs = meet(classes, columns, first_links)
-    links = _similar(pairs.where("a <> b"), keyed, classes, shingle, similarity)
-    roots = held(components(links))
-    crowded = pairs.where("a = b").select(F.col("a").alias("class"))
-    if not crowded.isEmpty():
-        rows = classes.join(crowded, "class").join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        more = meet(rows, [*columns, "root"], other_links).join(pairs, ["a", "b"], "left_anti")
-        roots = held(components(links.unionByName(_similar(more, keyed, classes, shingle, similarity))))
-    rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
-    named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))
-    return prints.select("doc", "tie", "class").join(named, "class")
-
-
-def representatives(docs: DataFrame, **parameters) -> DataFrame:
-    """(doc, tie) of the one document that stays of each group: the smallest id's, and of its texts the first by tie."""
-    groups = near_duplicates(docs, **parameters).where((F.col("doc") == F.col("group_doc")) & (F.col("class") == F.col("group_class")))
-    return held(groups.groupBy("doc", "class").agg(F.min("tie").alias("tie")).select("doc", "tie"))

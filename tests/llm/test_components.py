@@ -47,10 +47,10 @@ def test_compaction_follows_the_size_of_the_sources(spark, tmp_path, monkeypatch
     assert common.compact(many, table).rdd.getNumPartitions() == 40
 
 
-def test_results_beyond_the_bound_are_dropped_and_stay_right(spark, monkeypatch):
-    monkeypatch.setattr(common, "HELD", 1)
+def test_released_results_stay_right(spark):
     frames = [common.held(spark.range(n)) for n in range(3, 6)]
-    assert [f.count() for f in frames] == [3, 4, 5]
+    common.release(spark)
+    assert not any(f.storageLevel.useDisk for f in frames) and [f.count() for f in frames] == [3, 4, 5]
 
 
 def test_written_tables_lie_in_the_sessions_folder(spark):

@@ -9,7 +9,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from ferrule.llm import decontamination, imatch, langid, mixing, secrets, simhash, substring_dedup
+from ferrule.llm import decontamination, imatch, langid, mixing, near_duplicates, secrets, simhash, substring_dedup
 from tests.llm import docs as D
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
@@ -260,6 +260,22 @@ def test_large_buckets_lose_no_link():
     assert [found.root(i) for i in range(len(values))] == [plain.root(i) for i in range(len(values))]
 
 
+def test_large_buckets_covered_again_by_the_plan_lose_no_link(spark, monkeypatch):
+    rnd = random.Random(2)
+    base = rnd.getrandbits(64)
+    values = sorted({base ^ sum(1 << i for i in rnd.sample(range(64), rnd.randint(0, 7))) for _ in range(400)})
+    monkeypatch.setattr(simhash, "BUCKET", 8)
+    edges = simhash.covering_edges(spark.createDataFrame([(simhash.signed(v),) for v in values], "f0 long")).collect()
+    found, plain, at = simhash.Forest(len(values)), simhash.Forest(len(values)), {simhash.signed(v): i for i, v in enumerate(values)}
+    for a, b in edges:
+        found.join(at[a], at[b])
+    for i, v in enumerate(values):
+        for j in range(i):
+            if (v ^ values[j]).bit_count() <= 4:
+                plain.join(i, j)
+    assert [found.root(i) for i in range(len(values))] == [plain.root(i) for i in range(len(values))]
+
+
 def test_near_duplicates_keep_one_of_each_group(spark):
     rnd = random.Random(8)
     originals = [" ".join(f"{rnd.choice('bcdfgh')}{rnd.randint(0, 5000)}" for _ in range(200)) for _ in range(15)]
@@ -268,7 +284,7 @@ def test_near_duplicates_keep_one_of_each_group(spark):
         words = t.split()
         words[rnd.randint(5, 190)] = "edited"
         copies.append(" ".join(words))
-    kept = simhash.representatives(D.simple(spark, originals + copies + originals)).collect()
+    kept = near_duplicates.representatives(D.simple(spark, originals + copies + originals)).collect()
     assert sorted(r.doc for r in kept) == list(range(15))
 
 
@@ -292,7 +308,11 @@ def jaccard_groups(texts, size=5, least=0.8):
     return {root(i) for i in range(len(texts))}
 
 
-def test_pairs_among_many_texts_of_one_template_are_found(spark):
+@pytest.mark.parametrize("small", [False, True])
+def test_pairs_among_many_texts_of_one_template_are_found(spark, monkeypatch, small):
+    if small:  # many blocks and copies of leaders
+        for name, size in (("OUTSIDERS", 7), ("MEMBERS", 30), ("FOLLOWERS", 5)):
+            monkeypatch.setattr(near_duplicates, name, size)
     rnd = random.Random(9)
     word = lambda: f"w{rnd.randint(0, 10**6)}"
     template = [word() for _ in range(160)]
@@ -306,7 +326,7 @@ def test_pairs_among_many_texts_of_one_template_are_found(spark):
     rnd.shuffle(texts)
     want = jaccard_groups(texts)
     assert len(want) == 300
-    assert {r.doc for r in simhash.representatives(D.simple(spark, texts)).collect()} == want
+    assert {r.doc for r in near_duplicates.representatives(D.simple(spark, texts)).collect()} == want
 
 
 def test_similarity_is_decided_exactly_at_the_bound(spark):
@@ -319,7 +339,7 @@ def test_similarity_is_decided_exactly_at_the_bound(spark):
         want += 1 if k % 2 else 2
     found = jaccard_groups(texts)
     assert len(found) == want
-    assert {r.doc for r in simhash.representatives(D.simple(spark, texts)).collect()} == found
+    assert {r.doc for r in near_duplicates.representatives(D.simple(spark, texts)).collect()} == found
 
 
 # --- decontamination -------------------------------------------------------------------

@@ -1,6 +1,7 @@
 """The pipeline's stages on odd tables, and whole on the smallest tables."""
 
 import os
+import re
 
 import pytest
 
@@ -32,6 +33,38 @@ def test_stages_keep_columns_and_take_effect(spark, tables):
     assert set(columns) < set(mixed.columns) and all(r.mix_taken > 0 for r in mixed.collect())
 
 
+def groups(texts):
+    sets = []
+    for t in texts:
+        w = re.findall("[^\x20\x09-\x0d]+", re.sub("[A-Z]+", lambda m: m[0].lower(), t or ""))
+        sets.append(frozenset(" ".join(w[i : i + 5]) for i in range(len(w) - 4)) or frozenset([" ".join(w)] if w else []))
+    up = list(range(len(texts)))
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or len(a & sets[j]) >= 0.8 * len(a | sets[j]):
+                up[max(root(i), root(j))] = min(root(i), root(j))
+    return [root(i) for i in range(len(texts))]
+
+
+def test_near_dedup_keeps_the_smallest_id_of_each_group(spark):
+    data = D.rows(n=120)
+    data += [(500, "alike in id and text", "en", "s1", 1) + data[0][5:], (500, "alike in id and text", "en", "s2", 1) + data[0][5:], (501, None, "en", "s2", 1) + data[0][5:]]
+    docs = D.frame(spark, data).withColumnRenamed("doc", "row").withColumnRenamed("tie", "__doc")
+    got = [tuple(r) for r in P.near_dedup(spark, docs, "").collect()]
+    again = [tuple(r) for r in P.near_dedup(spark, docs.repartition(7), "").collect()]
+    assert sorted(got, key=repr) == sorted(again, key=repr)
+    of = groups([r[1] for r in data])
+    order = lambda r: (r[0] is None, r[0] or 0)
+    want = {g: min(order(r) for r, o in zip(data, of, strict=True) if o == g) for g in set(of)}
+    assert sorted(order(r) for r in got) == sorted(want.values()) and set(got) <= set(data)
+
+
 @pytest.mark.parametrize("name, stage", P.STAGES)
 def test_stages_of_an_empty_table(spark, tables, name, stage):
     assert stage(spark, D.frame(spark, []), tables).count() == 0
