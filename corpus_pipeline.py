@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm import decontamination, langid, mixing, secrets, simhash
-from ferrule.llm.common import compact, held, order_id, table, written
+from ferrule.llm import decontamination, langid, mixing, near_duplicates, secrets
+from ferrule.llm.common import compact, held, order_id, packed, release, table, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -16,14 +16,18 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group of near-duplicates (operator 6)."""
-    columns = docs.columns
-    kept = simhash.representatives(docs)
-    keyed = docs.withColumn("__doc", order_id()).withColumn("__tie", F.hash("text"))
-    joined = keyed.join(kept, (keyed["__doc"] == kept["doc"]) & (keyed["__tie"] == kept["tie"]), "left_semi")
-    # a row that is repeated as a whole stays once
-    first = F.row_number().over(W.partitionBy("__doc", "__tie").orderBy("__doc"))
-    return compact(joined.withColumn("__rank", first).where("__rank = 1").select(*columns), docs)
+    """Keeps one document of each group of near-duplicates (operator 6's fingerprints among the candidates; exact Jaccard of 0.8 decides).
+
+    It is the one with the smallest id, of those with its id and group the text with the
+    smallest hash, and of rows alike in both the one with the smallest hash of the whole
+    row. Texts without words, nulls among them, are one group.
+    """
+    kept = near_duplicates.representatives(docs)
+    whole = F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))
+    rows = packed(docs, doc=order_id(), tie=F.xxhash64("text"), whole=whole)
+    once = rows.join(kept.where("times = 1"), ["doc", "tie"], "left_semi").select("row.*")
+    several = rows.join(kept.where("times > 1"), ["doc", "tie"], "left_semi")
+    return compact(once.unionByName(several.groupBy("doc", "tie").agg(F.min_by("row", "whole").alias("row")).select("row.*")), docs)
 
 
 def decontamination_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -65,6 +69,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
+        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
