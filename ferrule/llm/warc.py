@@ -1,9 +1,15 @@
 """WARC records and a Merkle fixity audit of replicas (operator 10).
 
-A record's digest is a leaf; records in order of their offsets form ranges of FANOUT
-leaves, ranges of FANOUT ranges and so on up to one root. Two replicas are compared
-root first; below, only the children of ranges whose digests differ are looked at, down to
-the records that are corrupt.
+Each replica has a tree made of its own records alone. Records lie in order of their
+ids, so that a range of ids is a range of offsets: ranges of 2^10 ids, of 2^20 and so on
+up to the root, each the SHA-256 of its children's digests in order. A range is named by
+the ids it holds, so a record that one replica lacks shifts nothing. Below an
+id come the first hex digits of its records' digests, so that an id with very many
+records is no single node; equal records are one entry with a count.
+
+Roots are compared first; below, only the children of nodes that differ are fetched from
+either tree, down to entries. Equal digests meet first; what is left over is corrupt,
+missing or extra.
 """
 
 from __future__ import annotations
@@ -14,10 +20,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import held
+from ferrule.llm.common import LAST_ID, cut, held, order_id
 
-FANOUT = 16
-#: Records a partition of the global order.
+#: Bits of an id by which each level of ranges is wider than the one below, and levels of ranges between ids and root.
+BITS, LEVELS = 10, 6
+#: Hex digits of a digest that name a node below an id.
+PREFIX = 3
+#: Entries a partition of the global order.
 ORDERED = 20_000
 _END = "\r\n\r\n"
 
@@ -61,64 +70,103 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 
 def manifest(pages: DataFrame) -> DataFrame:
-    """(id, copy, digest, length) of every record; copy numbers the records of one id by digest."""
+    """(id, digest, length, copies) of every distinct record; a null id is the greatest."""
     text = record(F.col("page_id"), F.col("url"), F.col("html"))
-    rows = pages.select(F.col("page_id").cast("long").alias("id"), text.alias("__r")).select("id", F.sha2("__r", 256).alias("digest"), (F.octet_length("__r") + 4).cast("long").alias("length"))
-    return rows.withColumn("copy", F.row_number().over(W.partitionBy("id").orderBy("digest")))
+    rows = pages.select(order_id("page_id").alias("id"), text.alias("text")).select("id", F.sha2("text", 256).alias("digest"), (F.octet_length("text") + 4).cast("long").alias("length"))
+    return rows.groupBy("id", "digest").agg(F.max("length").alias("length"), F.count("*").alias("copies"))
 
 
-def ordered(records: DataFrame) -> DataFrame:
-    """Adds leaf (place in the order of id, null first, then copy) and offset, by sums of sorted partitions."""
-    parts = max(1, -(-records.count() // ORDERED))
-    by = (F.col("id").asc_nulls_first(), F.col("copy"))
-    dealt = held(records.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
+def ordered(entries: DataFrame) -> DataFrame:
+    """Adds leaf (place of the entry's first record in the order of id and digest) and offset, by sums of sorted partitions."""
+    parts = max(1, -(-entries.count() // ORDERED))
+    dealt = held(entries.repartitionByRange(parts, "id", "digest").withColumn("part", F.spark_partition_id()))
     before = W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)  # one row a partition
-    sums = dealt.groupBy(F.col("part").alias("p")).agg(F.count("*").alias("n"), F.sum("length").alias("bytes"))
+    sums = dealt.groupBy(F.col("part").alias("p")).agg(F.sum("copies").alias("n"), F.sum(F.col("length") * F.col("copies")).alias("bytes"))
     starts = sums.select("p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("n0"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("o0"))
-    inside = W.partitionBy("part").orderBy(*by)
-    earlier = inside.rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.withColumn("leaf", F.row_number().over(inside) - 1).withColumn("offset", F.coalesce(F.sum("length").over(earlier), F.lit(0)))
+    earlier = W.partitionBy("part").orderBy("id", "digest").rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda value: F.coalesce(F.sum(value).over(earlier), F.lit(0))
+    placed = dealt.withColumn("leaf", so_far(F.col("copies"))).withColumn("offset", so_far(F.col("length") * F.col("copies")))
     return placed.join(starts, F.col("part") == F.col("p")).withColumn("leaf", F.col("leaf") + F.col("n0")).withColumn("offset", F.col("offset") + F.col("o0")).drop("part", "p", "n0", "o0")
 
 
-def tree(leaves: DataFrame) -> list[DataFrame]:
-    """Levels (node, a, b) from the leaves up to one root; a and b are both replicas' digests."""
-    levels = [leaves.select("node", "a", "b")]
-    n = leaves.count()
-    while n > 1:
-        children = F.array_sort(F.collect_list(F.struct("node", F.coalesce("a", F.lit("")).alias("a"), F.coalesce("b", F.lit("")).alias("b"))))  # FANOUT of them at most
-        up = levels[-1].groupBy(F.floor(F.col("node") / FANOUT).alias("node")).agg(children.alias("c"))
-        hashed = lambda side: F.sha2(F.array_join(F.transform("c", lambda x: x[side]), ""), 256).alias(side)
-        levels.append(held(up.select("node", hashed("a"), hashed("b"))))
-        n = -(-n // FANOUT)
-    return levels
+_KEYS = [f"r{k}" for k in range(LEVELS - 1, -1, -1)] + ["id", "prefix"]
 
 
-def mismatches(levels: list[DataFrame]) -> DataFrame:
-    """(node) of the leaves that differ, by descending only from nodes that differ."""
-    differs = ~F.col("a").eqNullSafe(F.col("b"))
-    bad = levels[-1].where(differs).select("node")
-    for level in levels[-2::-1]:
-        bad = level.withColumn("up", F.floor(F.col("node") / FANOUT)).join(bad.withColumnRenamed("node", "up"), "up", "left_semi").where(differs).select("node")
-    return bad
+def tree(entries: DataFrame) -> list[DataFrame]:
+    """The levels from the root (one row) down; each row has the ranges it lies in, its name last, and its digest `hash`."""
+    ranges = [F.shiftright("id", BITS * (k + 1)).alias(f"r{k}") for k in range(LEVELS - 1, -1, -1)]
+    rows = entries.select(*ranges, "id", F.substring("digest", 1, PREFIX).alias("prefix"), F.concat_ws(":", "digest", F.col("copies").cast("string")).alias("entry"))
+    rows = cut(rows.groupBy(*_KEYS).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("entry")), ","), 256).alias("hash")))
+    levels = [rows]
+    for depth in range(len(_KEYS) - 1, -1, -1):
+        children = F.array_sort(F.collect_list(F.struct(_KEYS[depth], "hash")))  # 2^BITS or 16^PREFIX of them at most
+        rows = cut(rows.groupBy(*_KEYS[:depth]).agg(F.sha2(F.array_join(children["hash"], ""), 256).alias("hash")))
+        levels.append(rows)
+    return levels[::-1]
+
+
+def differing(mine: list[DataFrame], other: list[DataFrame]) -> DataFrame | None:
+    """(id, prefix) of the lowest nodes that differ, by fetching the children of differing nodes only; None if the roots are equal."""
+    if mine[0].first()["hash"] == other[0].first()["hash"]:
+        return None
+    bad = None
+    for depth in range(1, len(_KEYS) + 1):
+        names, parents = _KEYS[:depth], _KEYS[: depth - 1]
+        a, b = (t[depth] if bad is None else t[depth].join(bad, parents, "left_semi") for t in (mine, other))
+        both = a.join(b.withColumnRenamed("hash", "theirs"), names, "full_outer")
+        bad = cut(both.where(~F.col("hash").eqNullSafe(F.col("theirs"))).select(names))
+    return bad.select("id", "prefix")
+
+
+def _judged(mine: DataFrame, other: DataFrame, bad: DataFrame) -> DataFrame:
+    """(id, digest, length, whole, corrupt, missing, extra): how many copies of the entries in differing nodes are what.
+
+    Equal digests meet first. Of the others of an id, as many as both replicas have are
+    corrupt, in the order of their digests; the rest is missing or extra.
+    """
+    at = lambda m: m.withColumn("prefix", F.substring("digest", 1, PREFIX)).join(bad, ["id", "prefix"], "left_semi")
+    a = at(mine).select("id", "digest", "length", F.col("copies").alias("a"))
+    b = at(other).select("id", "digest", F.col("length").alias("b_length"), F.col("copies").alias("b"))
+    both = a.join(b, ["id", "digest"], "full_outer").select("id", "digest", F.coalesce("length", "b_length").alias("length"), F.coalesce("a", F.lit(0)).alias("a"), F.coalesce("b", F.lit(0)).alias("b"))
+    both = both.withColumn("whole", F.least("a", "b")).withColumn("ax", F.col("a") - F.col("whole")).withColumn("bx", F.col("b") - F.col("whole"))
+    of = W.partitionBy("id")
+    earlier = of.orderBy("digest").rowsBetween(W.unboundedPreceding, -1)
+    # of an entry's left-overs, those that the other side's left-overs of the id reach
+    met = lambda own, theirs: F.least(F.col(own), F.greatest(F.lit(0), F.sum(theirs).over(of) - F.coalesce(F.sum(own).over(earlier), F.lit(0))))
+    counted = both.withColumn("corrupt", met("ax", "bx")).withColumn("replaced", met("bx", "ax"))
+    return counted.select("id", "digest", "length", "whole", "corrupt", (F.col("ax") - F.col("corrupt")).alias("missing"), (F.col("bx") - F.col("replaced")).alias("extra"))
+
+
+_ROW = "id long, leaf long, offset long, length long, digest string, status string"
 
 
 def audit(primary: DataFrame, replica: DataFrame) -> DataFrame:
-    """(id, copy, leaf, offset, length, digest, status) of every record of the primary.
+    """(id, leaf, offset, length, digest, status, range_digest, replica_range_digest, root_digest, replica_root_digest) of every record of the primary.
 
-    status is ok, corrupt (another digest in the replica) or missing; records that only
-    the replica has follow with status extra and no place.
+    status is ok, corrupt (the replica has another digest under that id) or missing;
+    records that only the replica has follow with status extra and no place. The range
+    is the lowest range of ids. Null ids count as the greatest.
     """
-    mine = held(ordered(manifest(primary)))
-    other = held(manifest(replica).select(F.col("id").alias("rid"), F.col("copy").alias("rcopy"), F.col("digest").alias("b")))
-    same = F.col("id").eqNullSafe(F.col("rid")) & (F.col("copy") == F.col("rcopy"))
-    leaves = held(mine.join(other, same, "left").select(F.col("leaf").alias("node"), F.col("digest").alias("a"), "b", "id", "copy", "offset", "length"))
-    bad = mismatches(tree(leaves)).withColumn("bad", F.lit(True))
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("b").isNull(), "missing").otherwise("corrupt")
-    found = leaves.join(bad, "node", "left").select("id", "copy", F.col("node").alias("leaf"), "offset", "length", F.col("a").alias("digest"), status.alias("status"))
-    null = F.lit(None)
-    extra = other.join(mine, same, "left_anti").select(F.col("rid").alias("id"), F.col("rcopy").alias("copy"), null.cast("long").alias("leaf"), null.cast("long").alias("offset"), null.cast("long").alias("length"), F.col("b").alias("digest"), F.lit("extra").alias("status"))
-    return found.unionByName(extra)
+    mine, other = held(manifest(primary)), held(manifest(replica))
+    trees = tree(mine), tree(other)
+    bad = differing(*trees)
+    placed = ordered(mine)
+    status = F.lit("ok")
+    extra = None
+    if bad is not None:
+        judged = held(_judged(mine, other, bad))
+        placed = placed.join(judged.where("corrupt + missing > 0").drop("length", "extra"), ["id", "digest"], "left")
+        extra = judged.where("extra > 0").select("id", F.expr("cast(null as long) as leaf"), F.expr("cast(null as long) as offset"), "length", "digest", F.lit("extra").alias("status"), F.explode(F.sequence(F.lit(1), F.col("extra")))).drop("col")
+        status = F.when(F.col("whole").isNull() | (F.col("k") < F.col("whole")), "ok").when(F.col("k") < F.col("whole") + F.col("corrupt"), "corrupt").otherwise("missing")
+    each = placed.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)).alias("k"))
+    rows = each.select("id", (F.col("leaf") + F.col("k")).alias("leaf"), (F.col("offset") + F.col("k") * F.col("length")).alias("offset"), "length", "digest", status.alias("status"))
+    rows = rows.unionByName(extra) if extra is not None else rows
+    low = lambda t, name: t[LEVELS].select(F.col("r0").alias(f"{name}_r0"), F.col("hash").alias(name))
+    for name, t in zip(("range_digest", "replica_range_digest"), trees, strict=True):
+        rows = rows.join(low(t, name), F.shiftright("id", BITS) == F.col(f"{name}_r0"), "left").drop(f"{name}_r0")
+    roots = [F.lit(t[0].first()["hash"]).alias(name) for name, t in zip(("root_digest", "replica_root_digest"), trees, strict=True)]
+    id_ = F.when(F.col("id") == LAST_ID, F.lit(None)).otherwise(F.col("id")).cast("long").alias("id")
+    return rows.select(id_, "leaf", "offset", "length", "digest", "status", "range_digest", "replica_range_digest", *roots)
 
 
 #: The query audits a replica in which every record whose id leaves this remainder has one byte too many.
@@ -131,30 +179,62 @@ def damaged(pages: DataFrame) -> DataFrame:
 
 
 def warc_fixity(pages: DataFrame) -> DataFrame:
-    """Operator 10: page_id, leaf, record_offset, record_length, record_sha256, status of every page's record.
+    """Operator 10: page_id, leaf, record_offset, record_length, record_sha256, status of every page's record, with the digests of its range and of the roots.
 
-    Null urls and html are empty; records of one page_id (null first) follow each other
+    Null urls and html are empty; records of one page_id (null last) follow each other
     by digest; repeated rows are records of their own; an empty table gives no rows; other
     columns are ignored.
     """
     rows = audit(pages, damaged(pages))
-    return rows.select(F.col("id").alias("page_id"), F.col("leaf").cast("long").alias("leaf"), F.col("offset").cast("long").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "status")
+    return rows.select(
+        F.col("id").alias("page_id"), "leaf", F.col("offset").alias("record_offset"), F.col("length").alias("record_length"), F.col("digest").alias("record_sha256"), "status",
+        F.col("range_digest").alias("range_sha256"), F.col("replica_range_digest").alias("replica_range_sha256"), F.col("root_digest").alias("root_sha256"), F.col("replica_root_digest").alias("replica_root_sha256"),
+    )
 
 
-SQL = r"""
-WITH records AS (
-  SELECT page_id,
-         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
-         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: ' AS head,
-         coalesce(html, '') AS body
-  FROM pages
+def _levels_sql() -> str:
+    """Every level of both trees, as common table expressions."""
+    keys = ", ".join(f"id >> {BITS * (k + 1)} AS r{k}" for k in range(LEVELS))
+    out = [
+        f"nodes AS (SELECT side, {keys}, id, substr(digest, 1, {PREFIX}) AS prefix, sha256(string_agg(digest || ':' || copies, ',' ORDER BY digest)) AS hash FROM entries GROUP BY ALL)",
+        "ids AS (SELECT side, " + ", ".join(f"r{k}" for k in range(LEVELS)) + ", id, sha256(string_agg(hash, '' ORDER BY prefix)) AS hash FROM nodes GROUP BY ALL)",
+    ]
+    below, name = "ids", "id"
+    for k in range(LEVELS):
+        out.append(f"level{k} AS (SELECT side, " + ", ".join(f"r{j}" for j in range(k, LEVELS)) + f", sha256(string_agg(hash, '' ORDER BY {name})) AS hash FROM {below} GROUP BY ALL)")
+        below, name = f"level{k}", f"r{k}"
+    out.append(f"roots AS (SELECT side, sha256(string_agg(hash, '' ORDER BY {name})) AS hash FROM {below} GROUP BY ALL)")
+    return ",\n".join(out)
+
+
+SQL = rf"""
+WITH pages2 AS (
+  SELECT 1 AS side, page_id, url, coalesce(html, '') AS body FROM pages
+  UNION ALL
+  SELECT 2, page_id, url, coalesce(html, '') || CASE WHEN page_id % {DAMAGE} = {REMAINDER} THEN '!' ELSE '' END FROM pages
 ), whole AS (
-  SELECT page_id, head || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || body AS record FROM records
+  SELECT side, coalesce(page_id, {LAST_ID}) AS id,
+         'WARC/1.1' || chr(13) || chr(10) || 'WARC-Type: resource' || chr(13) || chr(10) || 'WARC-Record-ID: <urn:page:' || coalesce(CAST(page_id AS VARCHAR), '') || '>' || chr(13) || chr(10)
+         || 'WARC-Target-URI: ' || coalesce(url, '') || chr(13) || chr(10) || 'Content-Type: text/html' || chr(13) || chr(10) || 'Content-Length: '
+         || CAST(strlen(body) AS VARCHAR) || chr(13) || chr(10) || chr(13) || chr(10) || body AS record
+  FROM pages2
 ), hashed AS (
-  SELECT page_id, sha256(record) AS record_sha256, CAST(strlen(record) + 4 AS BIGINT) AS record_length FROM whole
+  SELECT side, id, sha256(record) AS digest, CAST(strlen(record) + 4 AS BIGINT) AS length FROM whole
+), entries AS (
+  SELECT side, id, digest, max(length) AS length, count(*) AS copies FROM hashed GROUP BY ALL
+), {_levels_sql()}, left_over AS (
+  SELECT id, sum(CASE WHEN side = 1 THEN 1 ELSE -1 END * copies) AS n FROM entries GROUP BY id
+), theirs AS (
+  SELECT id, digest, copies FROM entries WHERE side = 2
+), placed AS (
+  SELECT id, digest, length, row_number() OVER w - 1 AS leaf, CAST(sum(length) OVER w - length AS BIGINT) AS record_offset,
+         row_number() OVER (PARTITION BY id, digest) AS k
+  FROM hashed WHERE side = 1 WINDOW w AS (ORDER BY id, digest ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
 )
-SELECT page_id, row_number() OVER w - 1 AS leaf,
-       CAST(sum(record_length) OVER w - record_length AS BIGINT) AS record_offset, record_length, record_sha256,
-       CASE WHEN page_id % 499 = 7 THEN 'corrupt' ELSE 'ok' END AS status
-FROM hashed WINDOW w AS (ORDER BY page_id NULLS FIRST, record_sha256 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)
+SELECT CASE WHEN p.id <> {LAST_ID} THEN p.id END AS page_id, leaf, record_offset, length AS record_length, p.digest AS record_sha256,
+       CASE WHEN k <= coalesce(t.copies, 0) THEN 'ok' WHEN o.n = 0 THEN 'corrupt' ELSE 'missing' END AS status,
+       a.hash AS range_sha256, b.hash AS replica_range_sha256,
+       (SELECT hash FROM roots WHERE side = 1) AS root_sha256, (SELECT hash FROM roots WHERE side = 2) AS replica_root_sha256
+FROM placed p LEFT JOIN theirs t ON p.id = t.id AND p.digest = t.digest JOIN left_over o ON o.id = p.id
+LEFT JOIN level0 a ON a.side = 1 AND a.r0 = p.id >> {BITS} LEFT JOIN level0 b ON b.side = 2 AND b.r0 = p.id >> {BITS}
 """
