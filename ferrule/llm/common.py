@@ -98,6 +98,11 @@ def packed(docs: DataFrame, **more: Column) -> DataFrame:
     return docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"), *(value.alias(name) for name, value in more.items()))
 
 
+def sampled(h: Column, share: Column | float) -> Column:
+    """Whether a row with this 64-bit hash is in a sample of that share; shares of 10^-15 still tell rows apart."""
+    return (h.cast("double") / float(1 << 64) + 0.5) < share
+
+
 def compact(df: DataFrame, *sources: DataFrame) -> DataFrame:
     """At most one partition for PARTITION_BYTES of the sources' files, so that small inputs don't end in very many small files.
 

@@ -1,8 +1,9 @@
 """URL filters: fixed rules first, then gradient-boosted trees (operator 9).
 
-Features are lexical: lengths, depth, digit ratio, entropy, parameter counts and how
-often the labelled URLs of the same host suffix are blocked. Labels come from the rules
-where one fits and otherwise from words in the host. The trees are fitted on a bounded
+Features are lexical: lengths, depth, digit ratio, entropy, parameter counts, and how
+often the labelled URLs with the same suffix of the host, or the same first part of the
+path, are blocked. Labels are the verdicts of the rules, where one fits; no other URL
+is labelled, and another table of labels can be given. The trees are fitted on a bounded
 hash sample of the labelled URLs and judge what no rule fits.
 """
 
@@ -14,17 +15,19 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ferrule.llm.common import sampled
+
 #: Fixed rules of the contract: (rule, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Fixed word list: parts of host names that label a URL as blocked for training.
-BLOCKED = frozenset("ad ads adserver bet bets betting bonus casino cheap click deal deals download farm free gambling jackpot lottery pharma pills poker popup porn prize replica spam track tracker viagra win xxx".split())
-#: The trees are fitted on about SAMPLE URLs.
-SAMPLE = 20_000
+#: The trees are fitted on about SAMPLE labelled URLs; one in HELD_OUT hosts is kept apart to measure their error.
+SAMPLE, HELD_OUT = 20_000, 5
 ROUNDS, DEPTH, BINS, RATE, LEAST, L2 = 40, 3, 32, 0.3, 20, 1.0
-SMOOTH = 20.0
+#: Weight of the overall rate in the rates of suffixes, and parts in which each URL's rates come from the other parts.
+SMOOTH, PARTS = 20.0, 5
 BASIC = ("length", "host_length", "path_length", "depth", "digits", "entropy", "params", "labels", "hyphens", "host_digits", "host_entropy", "fragment", "extension")
 
 
@@ -54,8 +57,8 @@ def _entropy(text: str) -> float:
     return -sum(c / n * math.log2(c / n) for c in Counter(text).values()) if n else 0.0
 
 
-def lexical(url: str | None, host: str, path: str) -> tuple[list[float], tuple[str, str]]:
-    """Basic features and the host's suffixes of one and two labels."""
+def lexical(url: str | None, host: str, path: str) -> tuple[list[float], tuple[str, str, str]]:
+    """Basic features; the host's suffixes of one and two labels and the path's first part."""
     url = url or ""
     labels = [x for x in host.split(".") if x]
     head, _, fragment = url.partition("#")
@@ -65,12 +68,7 @@ def lexical(url: str | None, host: str, path: str) -> tuple[list[float], tuple[s
         len(url), len(host), len(path), sum(1 for x in path.split("/") if x), sum(c.isdigit() for c in url) / n, _entropy(url), sum(1 for x in query.split("&") if x),
         len(labels), host.count("-"), sum(c.isdigit() for c in host), _entropy(host), float(bool(fragment)), float("." in path.rpartition("/")[2]),
     ]
-    return basic, (".".join(labels[-1:]), ".".join(labels[-2:]))
-
-
-def seed_label(host: str) -> int:
-    """1 if a part of the host is a blocked word."""
-    return int(any(part in BLOCKED for label in host.split(".") for part in label.split("-")))
+    return basic, (".".join(labels[-1:]), ".".join(labels[-2:]), "/" + path[1:].partition("/")[0])
 
 
 @dataclass
@@ -132,34 +130,71 @@ class Boosted:
         return 1 / (1 + np.exp(-(self.prior + sum((self._tree(t, x) for t in self.trees), np.zeros(len(x))))))
 
 
+def _rates(pairs: list[tuple[str, ...]], y: np.ndarray) -> dict[tuple[int, str], float]:
+    """The smoothed share of blocked URLs of each suffix that is common enough to tell anything; this bounds the table by the sample."""
+    seen: dict[tuple[int, str], list[float]] = {}
+    for pair, label in zip(pairs, y, strict=True):
+        for key in enumerate(pair):
+            t = seen.setdefault(key, [0.0, 0.0])
+            t[0] += label
+            t[1] += 1
+    base = float(y.mean()) if len(y) else 0.0
+    return {k: (b + SMOOTH * base) / (n + SMOOTH) for k, (b, n) in seen.items() if n >= LEAST}
+
+
+def _features(basic: list[list[float]], pairs: list[tuple[str, ...]], rates: dict[tuple[int, str], float], base: float) -> np.ndarray:
+    rate = [[rates.get(key, base) for key in enumerate(pair)] for pair in pairs]
+    return np.concatenate([np.array(basic, dtype=float).reshape(-1, len(BASIC)), np.array(rate, dtype=float).reshape(-1, 3)], axis=1)
+
+
 @dataclass
 class Model:
     trees: Boosted | None
-    rates: dict[str, float]
+    rates: dict[tuple[int, str], float]
     base: float
 
-    def features(self, basic: list[list[float]], suffixes: list[tuple[str, str]]) -> np.ndarray:
-        rate = [[self.rates.get(s, self.base) for s in pair] for pair in suffixes]
-        return np.concatenate([np.array(basic, dtype=float).reshape(-1, len(BASIC)), np.array(rate, dtype=float).reshape(-1, 2)], axis=1)
+    def predict(self, urls: list[tuple[str | None, str, str]]) -> np.ndarray:
+        """The probability of each (url, host, path) to be blocked."""
+        if not self.trees or not urls:
+            return np.full(len(urls), self.base)
+        parts = [lexical(*r) for r in urls]
+        return self.trees.predict(_features([p[0] for p in parts], [p[1] for p in parts], self.rates, self.base))
 
 
 def fit(labelled: list[tuple[str | None, str, str, int]]) -> Model:
-    """From (url, host, path, 1 if blocked); none or one kind of label allows everything."""
+    """From (url, host, path, 1 if blocked); labels of one kind only teach nothing, and nothing is blocked."""
     y = np.array([r[3] for r in labelled], dtype=float)
+    base = float(y.mean()) if len(y) else 0.0
     if not len(y) or y.min() == y.max():
-        return Model(None, {}, float(y.mean()) if len(y) else 0.0)
+        return Model(None, {}, 0.0)
     parts = [lexical(*r[:3]) for r in labelled]
-    base = float(y.mean())
-    seen: dict[str, list[float]] = {}
-    for (_, pair), label in zip(parts, y, strict=True):
-        for s in set(pair):
-            t = seen.setdefault(s, [0.0, 0.0])
-            t[0] += label
-            t[1] += 1
-    # a suffix must be common to tell anything; this also bounds the table by the sample
-    model = Model(None, {s: (b + SMOOTH * base) / (n + SMOOTH) for s, (b, n) in seen.items() if n >= LEAST}, base)
-    x = model.features([p[0] for p in parts], [p[1] for p in parts])
-    return Model(Boosted().fit(x, y), model.rates, base)
+    basic, pairs = [p[0] for p in parts], [p[1] for p in parts]
+    # a URL's own label has no part in its rates: they would give it away
+    part = np.arange(len(y)) % PARTS
+    x = np.zeros((len(y), len(BASIC) + 3))
+    for k in range(PARTS):
+        own = np.flatnonzero(part == k)
+        other = np.flatnonzero(part != k)
+        rates = _rates([pairs[i] for i in other], y[other])
+        x[own] = _features([basic[i] for i in own], [pairs[i] for i in own], rates, base)
+    return Model(Boosted().fit(x, y), _rates(pairs, y), base)
+
+
+def sample(labelled: DataFrame) -> list[tuple[str | None, str, str, int]]:
+    """(url, host, path, 1 if blocked) of about SAMPLE distinct rows of url, host, path, blocked."""
+    n = labelled.count()
+    if not n:
+        return []
+    few = labelled.where(sampled(F.xxhash64("url"), SAMPLE / n)).distinct().orderBy(F.xxhash64("url"), "url").limit(2 * SAMPLE)
+    return [(r["url"], r["host"], r["path"], int(r["blocked"])) for r in few.toArrow().to_pylist()]
+
+
+def held_out_error(labelled: list[tuple[str | None, str, str, int]]) -> tuple[float, int]:
+    """(share of wrong verdicts, URLs) on the hosts that are kept apart from a fit on the others."""
+    apart = lambda host: xxhash.xxh64_intdigest(host) % HELD_OUT == 0
+    test = [r for r in labelled if apart(r[1])]
+    score = fit([r for r in labelled if not apart(r[1])]).predict([r[:3] for r in test])
+    return (float(((score >= 0.5) != np.array([r[3] for r in test])).mean()) if test else 0.0), len(test)
 
 
 def judged(pages: DataFrame) -> DataFrame:
@@ -171,28 +206,23 @@ def judged(pages: DataFrame) -> DataFrame:
     return split.withColumn("rule", fitting_rule(F.col("host"), F.col("path"))).withColumn("by_rule", verdict)
 
 
-def url_filter(pages: DataFrame) -> DataFrame:
+def url_filter(pages: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """Operator 9: page_id, host, path, rule, verdict, score of every page's url.
 
-    A null url, or one without `://`, has an empty host and path and is judged by its
-    other features; repeated rows give repeated rows; an empty table gives no rows;
-    other columns are ignored.
+    `labelled` (url, host, path, blocked) teaches the trees; without it, the URLs that
+    a rule fits do. A null url, or one without `://`, has an empty host and path and is
+    judged by its other features; repeated rows give repeated rows; an empty table gives
+    no rows; other columns are ignored.
     """
     rows = judged(pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").alias("__url")))
-    n = rows.count()
-    share = min(1.0, SAMPLE / n) if n else 1.0
-    picked = rows.where(F.pmod(F.xxhash64("page_id", "__url"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("__url", "host", "path", "by_rule").toArrow().to_pylist()
-    labelled = [(r["__url"], r["host"], r["path"], int(r["by_rule"] == "block") if r["by_rule"] else seed_label(r["host"])) for r in picked]
-    model = fit(sorted(labelled, key=lambda r: (r[0] or "", r[3])))
+    if labelled is None:
+        labelled = rows.where(F.col("by_rule").isNotNull()).select(F.col("__url").alias("url"), "host", "path", (F.col("by_rule") == "block").alias("blocked"))
+    model = fit(sample(labelled))
 
     def run(batches):
         for batch in batches:
             urls, hosts, paths, rules = (batch.column(c).to_pylist() for c in ("__url", "host", "path", "by_rule"))
-            parts = [lexical(*r) for r in zip(urls, hosts, paths, strict=True)]
-            if model.trees and parts:
-                score = model.trees.predict(model.features([p[0] for p in parts], [p[1] for p in parts]))
-            else:
-                score = np.full(len(parts), model.base)
+            score = model.predict(list(zip(urls, hosts, paths, strict=True)))
             verdicts = [r or ("block" if s >= 0.5 else "allow") for r, s in zip(rules, score, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(c) for c in ("page_id", "host", "path", "rule")] + [pa.array(verdicts, pa.string()), pa.array(score, pa.float64())], names=["page_id", "host", "path", "rule", "verdict", "score"])
 
