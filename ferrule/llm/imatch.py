@@ -3,10 +3,12 @@
 The lexicon holds the terms of a band of document frequencies. A text's distinct lexicon
 terms, sorted, are hashed once for each of SLOTS random subsets of the lexicon; a term is
 in a subset by its hash, so any text meets the same subsets. Longer texts use sparser
-subsets (scale s keeps a 2^s-th), so that a subset holds about one term of a text and
+subsets (scale s keeps a 2^s-th), so that a subset holds one to three terms of a text and
 survives partial edits; a fingerprint has its own scale and the next, so texts of
-similar length always share one. Likeness is the share of equal subsets among those
-that hold a term of either text.
+similar length always share one. A subset without a lexicon term of the text takes its
+other terms, each subset for itself, so that texts of a large group of copies, whose terms are
+above the band, have fingerprints too and one edit doesn't change all of one. Likeness is the
+share of equal subsets among those that hold a term of either text.
 
 Next documents come from a distributed sort of ids. Texts are dealt out once by id;
 everything about a document and its edited text is computed where its text lies.
@@ -23,7 +25,7 @@ from ferrule.llm.common import LAST_ID, held, let, order_id
 #: The band: terms in at least LOW of the documents (two at least) and at most HIGH of them.
 #: At most (terms a document) / LOW terms can be in the band, whatever the corpus's size.
 LOW, HIGH = 1 / 2000, 1 / 10
-#: Lexicon terms up to which it is broadcast; a larger one is joined by shuffling.
+#: Lexicon terms, or repeated texts, up to which they are broadcast; more are joined by shuffling.
 BROADCAST = 1_000_000
 #: Lexicon subsets, hex digits of each one's hash, and distinct terms a text of scale 0 has at most.
 SLOTS, DIGITS, TERMS = 32, 3, 72
@@ -37,11 +39,19 @@ def terms(text: Column) -> Column:
     return F.array_distinct(F.transform(F.filter(F.split(F.lower(text), _SEPARATORS), lambda w: w != ""), lambda w: F.xxhash64(w)))
 
 
-def lexicon(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(term): hashes of the terms whose document frequency is in the band, over all rows."""
-    counts = docs.select(F.explode(terms(F.col(text))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
-    n = docs.count()
-    return held(counts.where((F.col("df") >= n * LOW) & (F.col("df") <= max(2.0, n * HIGH))).select("term"))
+def lexicon(keyed: DataFrame) -> DataFrame:
+    """(term): hashes of the terms whose document frequency is in the band, over all distinct texts of doc, tie, text.
+
+    Copies of a text count once, under the smallest id, so that the terms of a large
+    group of copies are no more frequent than others.
+    """
+    copies = held(keyed.groupBy("tie").agg(F.min("doc").alias("least"), F.count("*").alias("rows")).where(F.col("rows") > 1))
+    n, more = copies.agg(F.count("*"), F.coalesce(F.sum(F.col("rows") - 1), F.lit(0))).first()
+    side = F.broadcast if n <= BROADCAST else (lambda x: x)
+    once = keyed.join(side(copies.select("tie", "least")), "tie", "left").where(F.col("least").isNull() | (F.col("least") == F.col("doc")))
+    texts = keyed.count() - more
+    counts = once.select(F.explode(terms(F.col("text"))).alias("term")).groupBy("term").agg(F.count("*").alias("df")).where("df > 1")
+    return held(counts.where((F.col("df") >= texts * LOW) & (F.col("df") <= max(2.0, texts * HIGH))).select("term"))
 
 
 def _scale(n_terms: Column) -> Column:
@@ -53,18 +63,31 @@ def _subset(term: Column, scale: Column) -> Column:
     return term.bitwiseAND(F.call_function("shiftleft", F.lit(SLOTS).cast("long"), scale) - 1)
 
 
-def _digest(sorted_terms: Column, scale: Column) -> Column:
-    def slot(j: Column) -> Column:
-        own = F.filter(sorted_terms, lambda t: _subset(t, scale) == j)
-        return let(own, lambda o: F.when(F.size(o) == 0, "-" * DIGITS).otherwise(F.substring(F.lpad(F.lower(F.hex(F.xxhash64(o))), 16, "0"), 17 - DIGITS, DIGITS)))
+def _digest(found: Column, scale: Column) -> Column:
+    """The digests of all subsets, from (in_band, term) of the terms in used ones."""
+    used = F.array_sort(F.transform(F.filter(found, lambda x: _subset(x["term"], scale) < SLOTS), lambda x: F.struct((~x["in_band"]).alias("other"), _subset(x["term"], scale).alias("subset"), x["term"].alias("term"))))
+
+    def parts(x: Column) -> Column:
+        # numbers of subsets, those of other terms after those of lexicon terms: each subset's terms are a slice
+        numbers = F.transform(x, lambda y: y["subset"] + F.when(y["other"], SLOTS).otherwise(0))
+        return let(F.struct(numbers.alias("numbers"), F.reverse(numbers).alias("back"), x["term"].alias("terms")), digests)
+
+    def digests(x: Column) -> Column:
+        n = F.size(x["terms"])
 
-    return F.array_join(F.transform(F.sequence(F.lit(0), F.lit(SLOTS - 1)), slot), "")
+        def subset(j: Column) -> Column:
+            first = lambda k: F.array_position(x["numbers"], k).cast("int")
+            hashed = lambda k, at: F.substring(F.lpad(F.lower(F.hex(F.xxhash64(F.slice(x["terms"], at, n - F.array_position(x["back"], k).cast("int") + 2 - at)))), 16, "0"), 17 - DIGITS, DIGITS)
+            at = F.struct(first(j).alias("own"), first(j + SLOTS).alias("other"))
+            return let(at, lambda a: F.when(a["own"] > 0, hashed(j, a["own"])).when(a["other"] > 0, hashed(j + SLOTS, a["other"])).otherwise("-" * DIGITS))
+
+        return F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.lit(SLOTS - 1).cast("long")), subset), "")
+
+    return let(used, parts)
 
 
 def _fingerprint(found: Column, scale: Column) -> Column:
-    """From (in_band, term) of a text's terms in used subsets; a text without lexicon terms uses all its terms."""
-    used = let(F.exists(found, lambda x: x["in_band"]), lambda some: F.array_sort(F.transform(F.filter(found, lambda x: x["in_band"] | ~some), lambda x: x["term"])))
-    return let(used, lambda t: F.concat_ws(":", scale.cast("string"), _digest(t, scale), _digest(t, scale + 1)))
+    return F.concat_ws(":", scale.cast("string"), _digest(found, scale), _digest(found, scale + 1))
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -87,8 +110,8 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def _order(keyed: DataFrame) -> DataFrame:
-    """(doc, tie, n, next_doc, next_tie): the following row by descending doc; after the last the first."""
-    ids = held(keyed.select("doc", "tie", F.length("text").alias("n")).distinct())
+    """(doc, tie, n, times, next_doc, next_tie): the following document by descending doc; after the last the first. Rows alike in both are one, `times` over."""
+    ids = held(keyed.groupBy("doc", "tie", F.length("text").alias("n")).agg(F.count("*").alias("times")))
     by = (F.col("doc").desc(), F.col("tie"))
     parts = max(1, -(-ids.count() // ORDERED))
     dealt = held(ids.repartitionByRange(parts, *by).withColumn("part", F.spark_partition_id()))
@@ -99,45 +122,57 @@ def _order(keyed: DataFrame) -> DataFrame:
     around = W.orderBy("part")
     carry = firsts.select(F.col("part").alias("p"), F.coalesce(F.lead("first").over(around), F.first("first").over(around)).alias("carry"))
     placed = ranked.join(carry, F.col("part") == F.col("p")).withColumn("next", F.coalesce("next", "carry"))
-    return held(placed.select("doc", "tie", "n", F.col("next.doc").alias("next_doc"), F.col("next.tie").alias("next_tie")))
+    return held(placed.select("doc", "tie", "n", "times", F.col("next.doc").alias("next_doc"), F.col("next.tie").alias("next_tie")))
 
 
 def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc, tie, n_chars, edited_sha256, fingerprint, edited_fingerprint, to_doc, to_tie (whose next it is)."""
+    """doc, tie, n (code points), times (rows alike), next_doc, next_tie, sha (of the edited text), fingerprint, edited_fingerprint."""
     keyed = docs.select(order_id(key).alias("doc"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("tie", F.xxhash64("text"))
     band = lexicon(keyed)
     order = _order(keyed)
     whole = keyed.dropDuplicates(["doc", "tie"]).select("doc", "tie", "text")
     third = F.floor(F.col("n") / 3).cast("int")
-    wanted = order.select(F.col("next_doc").alias("doc"), F.col("next_tie").alias("tie"), F.col("doc").alias("to_doc"), F.col("tie").alias("to_tie"), third.alias("m"), F.col("n").alias("to_n"))
-    heads = whole.join(wanted, ["doc", "tie"]).select(F.col("to_doc").alias("doc"), F.col("to_tie").alias("tie"), F.col("doc").alias("next_doc"), F.col("tie").alias("next_tie"), "m", F.col("to_n").alias("n"), F.substring("text", F.lit(1), F.col("m")).alias("head"))
-    edited = whole.join(heads, ["doc", "tie"]).select("doc", "tie", "n", "next_doc", "next_tie", "text", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), F.col("head")).alias("edited"))
+    meta = ["n", "times", "next_doc", "next_tie"]
+    wanted = order.select(F.col("next_doc").alias("doc"), F.col("next_tie").alias("tie"), F.col("doc").alias("to_doc"), F.col("tie").alias("to_tie"), third.alias("m"), F.col("n").alias("to_n"), "times")
+    heads = whole.join(wanted, ["doc", "tie"]).select(F.col("to_doc").alias("doc"), F.col("to_tie").alias("tie"), F.col("doc").alias("next_doc"), F.col("tie").alias("next_tie"), "m", F.col("to_n").alias("n"), "times", F.substring("text", F.lit(1), F.col("m")).alias("head"))
+    edited = whole.join(heads, ["doc", "tie"]).select("doc", "tie", *meta, "text", F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("m")), F.col("head")).alias("edited"))
+
+    def used(found: Column) -> Column:
+        """A text's scale and its terms in used subsets."""
+        return let(found, lambda t: let(_scale(F.size(t)), lambda s: F.struct(s.alias("s"), F.filter(t, lambda x: _subset(x, s) < SLOTS).alias("terms"))))
+
+    both = F.struct(used(terms(F.col("text"))).alias("own"), used(terms(F.col("edited"))).alias("edited"), F.sha2("edited", 256).alias("sha"))
 
-    def used(which: int, found: Column) -> Column:
-        return let(found, lambda t: let(_scale(F.size(t)), lambda s: F.struct(s.alias("s"), F.transform(F.filter(t, lambda x: _subset(x, s) < SLOTS), lambda x: F.struct(F.lit(which).alias("which"), x.alias("term"))).alias("t"))))
+    def rows_of(x: Column) -> Column:
+        """One row a term, and one (of which -1) with all else, so that the rows of terms are narrow."""
+        about = F.struct(*(F.col(c).alias(c) for c in meta), x["sha"].alias("sha"), x["own"]["s"].alias("s"), x["edited"]["s"].alias("es"))
+        row = lambda which, term, about: F.struct(F.lit(which).alias("which"), term.alias("term"), about.alias("about"))
+        term_rows = lambda which, side: F.transform(x[side]["terms"], lambda t: row(which, t, F.when(F.lit(False), about)))
+        return F.concat(term_rows(0, "own"), term_rows(1, "edited"), F.array(row(-1, F.lit(None).cast("long"), about)))
 
-    meta = ["doc", "tie", "n", "next_doc", "next_tie", "sha"]
-    split = edited.select("doc", "tie", "n", "next_doc", "next_tie", F.sha2("edited", 256).alias("sha"), let(F.array(used(0, terms(F.col("text"))), used(1, terms(F.col("edited")))), lambda x: x).alias("x"))
-    rows = split.select(*meta, F.col("x")[0]["s"].alias("s"), F.col("x")[1]["s"].alias("es"), F.explode_outer(F.flatten(F.transform("x", lambda y: y["t"]))).alias("y")).select(*meta, "s", "es", "y.which", "y.term")
+    rows = edited.select("doc", "tie", F.explode(let(both, rows_of)).alias("y")).select("doc", "tie", "y.*")
     side = F.broadcast if band.count() <= BROADCAST else (lambda x: x)
-    rows = rows.join(side(band.withColumn("in_band", F.lit(True))), "term", "left").withColumn("in_band", F.coalesce("in_band", F.lit(False)))
-    found = rows.groupBy(*meta, "s", "es").agg(F.collect_list(F.when(F.col("term").isNotNull(), F.struct("which", "in_band", "term"))).alias("found"))
-    own = lambda which: F.filter("found", lambda x: x["which"] == which)
-    return found.select(*meta, _fingerprint(own(0), F.col("s")).alias("fingerprint"), _fingerprint(own(1), F.col("es")).alias("edited_fingerprint"))
+    rows = rows.join(side(band.withColumn("in_band", F.lit(True))), "term", "left")
+    entry = F.struct(F.coalesce("in_band", F.lit(False)).alias("in_band"), "term")
+    of = lambda which: F.collect_list(F.when(F.col("which") == which, entry))
+    found = rows.groupBy("doc", "tie").agg(F.first("about", ignorenulls=True).alias("about"), of(0).alias("own"), of(1).alias("edited"))
+    made = found.select("doc", "tie", "about.*", "own", "edited")
+    return made.select("doc", "tie", *meta, "sha", _fingerprint(F.col("own"), F.col("s")).alias("fingerprint"), _fingerprint(F.col("edited"), F.col("es")).alias("edited_fingerprint"))
 
 
 def document_fingerprints(docs: DataFrame) -> DataFrame:
     """Operator 4: doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
 
     Null texts count as empty; different texts under one id follow each other by their
-    hash; repeated rows give one row; the only document is its own next; a null id
-    orders as the greatest; an empty table gives no rows; other columns are ignored.
+    hash; rows alike in both are one document and give a row each; the only document
+    is its own next; a null id orders as the greatest; an empty table gives no rows;
+    other columns are ignored.
     """
     made = held(fingerprints(docs))
     following = made.select(F.col("doc").alias("next_doc"), F.col("tie").alias("next_tie"), F.col("fingerprint").alias("next"))
     rows = made.join(following, ["next_doc", "next_tie"])
     id_ = F.when(F.col("doc") == F.lit(LAST_ID), F.lit(None)).otherwise(F.col("doc")).cast("long")
-    return rows.select(
+    return rows.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(
         id_.alias("doc_id"), F.col("n").cast("long").alias("n_chars"), F.col("sha").alias("edited_sha256"), "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"), likeness(F.col("fingerprint"), F.col("next")).alias("near_next"),
     )
