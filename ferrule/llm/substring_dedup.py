@@ -95,7 +95,7 @@ def winnow(hashes: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[
 
 def _keyed(docs: DataFrame, text: str) -> DataFrame:
     """Rows by id and text: `tie` tells apart different texts under one id."""
-    return docs.select(F.col("doc_id"), order_id().alias("doc"), F.hash(F.col(text)).alias("tie"), F.col(text).alias("text"))
+    return docs.select(F.col("doc_id"), order_id().alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
 
 
 def _anchors(batches):
@@ -111,14 +111,18 @@ def _anchors(batches):
 
 def _windows(length):
     def run(batches):
+        seen = set()  # repeated rows, which meet in a task, have the same windows
         for batch in batches:
             for doc, tie, text, runs in zip(batch.column("doc").to_pylist(), batch.column("tie").to_pylist(), batch.column("text").to_pylist(), batch.column("runs").to_pylist(), strict=True):
-                hashes, runs = word_hashes(text), np.array(sorted(set(runs)), dtype=np.int64)
+                if (doc, tie) in seen:
+                    continue
+                seen.add((doc, tie))
+                hashes, runs = word_hashes(text), np.array(sorted(runs), dtype=np.int64)
                 counts = runs % 64
                 at = np.repeat(runs // 64 - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())
                 w1, w2 = (Spans(hashes, b)(at, at + length).view(np.int64) for b in (_B2, _B3))
                 n = len(at)
-                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(n, doc, dtype=np.int64)), pa.array(np.full(n, tie, dtype=np.int32)), pa.array(at * 64 + 1)], names=["w1", "w2", "doc", "tie", "run"])
+                yield pa.RecordBatch.from_arrays([pa.array(w1), pa.array(w2), pa.array(np.full(n, doc, dtype=np.int64)), pa.array(np.full(n, tie, dtype=np.int64)), pa.array(at * 64 + 1)], names=["w1", "w2", "doc", "tie", "run"])
 
     return run
 
@@ -164,7 +168,7 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     """
     small_batches(docs.sparkSession)
     keyed = _keyed(docs, text)
-    anchors = written(keyed.select("doc", "tie", "text").mapInArrow(_anchors, "h long, k long, doc long, tie int, run long"), "anchors", docs)
+    anchors = written(keyed.select("doc", "tie", "text").mapInArrow(_anchors, "h long, k long, doc long, tie long, run long"), "anchors", docs)
     shared = anchors.groupBy("h").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("h")
     seeds = written(anchors.join(written(shared, "shared", docs), "h"), "seeds", docs)
     first = written(seeds.groupBy("h", "k").agg(F.min("doc").alias("first")), "first", docs)
@@ -172,8 +176,8 @@ def repeats(docs: DataFrame, text: str = "text", length: int = LENGTH) -> DataFr
     first = written(first.join(several, "h", "left"), "contexts", docs)
     settled = written(
         seeds.join(first, ["h", "k"]).select("doc", "tie", "run", (F.col("doc") > F.col("first")).alias("whole"), F.coalesce("several", F.lit(False)).alias("several")).where("whole or several"), "settled", docs)
-    extend = settled.where("not whole").groupBy("doc", "tie").agg(F.collect_list("run").alias("runs"))
-    windows = written(keyed.select("doc", "tie", "text").join(extend, ["doc", "tie"]).mapInArrow(_windows(length), "w1 long, w2 long, doc long, tie int, run long"), "windows", docs)
+    extend = settled.where("not whole").groupBy("doc", "tie").agg(F.collect_set("run").alias("runs"))
+    windows = written(keyed.select("doc", "tie", "text").join(extend, ["doc", "tie"]).mapInArrow(_windows(length), "w1 long, w2 long, doc long, tie long, run long"), "windows", docs)
     least = written(windows.groupBy("w1", "w2").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("w1", "w2", "lo"), "least", docs)
     found = windows.join(least, ["w1", "w2"]).where("doc > lo").select("doc", "tie", "run")
     return found.unionByName(settled.where("whole").select("doc", "tie", "run"))
@@ -187,7 +191,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", with_text: bool = False
     repeated rows give repeated rows; other columns are ignored.
     """
     small_batches(docs.sparkSession)
-    runs = repeats(docs, text).groupBy("doc", "tie").agg(F.collect_list("run").alias("runs"))
+    runs = repeats(docs, text).groupBy("doc", "tie").agg(F.collect_set("run").alias("runs"))
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
     rows = _keyed(docs.withColumn("doc_id", F.col("doc_id").cast("long")), text)
     return rows.join(runs, ["doc", "tie"], "left").select("doc_id", "text", "runs").mapInArrow(_digest(with_text, LENGTH), schema)
