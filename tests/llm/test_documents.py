@@ -1,13 +1,16 @@
 """The operators on documents against brute force, on tables with odd rows, and on empty ones."""
 
 import hashlib
+import math
 import random
 import re
 from collections import Counter
 
 import numpy as np
 import pytest
+import regex
 import xxhash
+from pyspark.sql import functions as F
 
 from ferrule.llm import decontamination, imatch, langid, mixing, near_duplicates, secrets, simhash, substring_dedup
 from tests.llm import docs as D
@@ -73,8 +76,37 @@ def test_grams_of_long_texts_are_those_of_their_pieces(monkeypatch):
     text = D.prose(random.Random(1), "fr", 300)
     whole = langid.gram_counts(text)
     monkeypatch.setattr(langid, "_PIECE", 97)
-    ids, _, _ = langid.gram_counts(text)
-    assert set(whole[0].tolist()) <= set(ids.tolist())
+    ids, counts, letters = langid.gram_counts(text)
+    assert (ids.tolist(), counts.tolist(), letters) == (whole[0].tolist(), whole[1].tolist(), whole[2])
+
+
+def test_languages_left_out_of_the_fit_are_rejected(spark):
+    rnd = random.Random(6)
+    row = lambda i, lang: (i, D.prose(rnd, lang, 60), lang, "s", 0) + tuple("c" for _ in D.CLASH)
+    model = langid.fit(D.frame(spark, [row(i, ("en", "de")[i % 2]) for i in range(400)]))
+    french = [model.predict(D.prose(rnd, "fr", 60))[2] for _ in range(100)]
+    known = [model.predict(D.prose(rnd, lang, 60))[2] for lang in ("en", "de") for _ in range(100)]
+    assert sum(french) >= 95 and not any(known)
+
+
+def test_predictions_equal_a_plain_comparison_with_all_centroids(spark):
+    rnd = random.Random(7)
+    model = langid.fit(D.frame(spark, [(i, D.prose(rnd, ("en", "de", "fr")[i % 3], 60), ("en", "de", "fr")[i % 3], "s", 0) + tuple("c" for _ in D.CLASH) for i in range(90)]))
+    for _ in range(30):
+        text = D.prose(rnd, rnd.choice(("en", "de", "fr")), 20)
+        ids, counts, _ = langid.gram_counts(text)
+        v = np.zeros(langid.DIM)
+        for i, c in zip(ids, counts, strict=True):
+            v[i] = (1 + np.log(c)) * model.idf[i]
+        cosines = [float(c @ v) / float(np.linalg.norm(v)) for c in model.centroids]
+        lang, score, _ = model.predict(text)
+        assert abs(score - max(cosines)) < 1e-5 and lang == model.names[model.language[int(np.argmax(cosines))]]
+
+
+def test_a_label_for_every_text_keeps_the_model_bounded(spark, monkeypatch):
+    monkeypatch.setattr(langid, "LANGUAGES", 5)
+    model = langid.fit(D.frame(spark, [(i, f"text number {i} of many", f"l{i % 300}", "s", 0) + tuple("c" for _ in D.CLASH) for i in range(900)]))
+    assert len(model.names) == 5
 
 
 # --- substring dedup -------------------------------------------------------------------
@@ -117,6 +149,16 @@ def test_substring_dedup_of_few_words(spark, seed):
     assert collected(substring_dedup.substring_dedup(D.simple(spark, texts)), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
 
 
+def test_repeated_rows_cost_no_square(spark):
+    rnd = random.Random(5)
+    passage = D.prose(rnd, "en", 90)
+    rows = [(1, f"{D.prose(rnd, 'de', 30)} {passage}")] + [(7, f"{passage} {D.prose(rnd, 'fr', 200)} {passage}")] * 60
+    docs = D.frame(spark, [(*r, "en", "s", 0) + tuple("c" for _ in D.CLASH) for r in rows])
+    runs = substring_dedup.repeats(docs).groupBy("doc", "tie").agg(F.count("*").alias("n"), F.size(F.collect_set("run")).alias("m")).collect()
+    assert [r.doc for r in runs] == [7] and runs[0].n <= 61 * runs[0].m
+    assert collected(substring_dedup.substring_dedup(docs), "doc_id", "n_words", "n_removed", "kept_sha256") == removed(rows)
+
+
 def test_kept_text(spark):
     passage = " ".join(f"w{i}" for i in range(60))
     got = substring_dedup.substring_dedup(D.simple(spark, [f"a {passage} b", f"c  {passage}\nd"]), with_text=True).orderBy("doc_id").collect()
@@ -182,7 +224,7 @@ def test_fingerprints(spark):
     for k, (doc, text) in enumerate(ordered):
         m = len(text) // 3
         want[doc] = (len(text), hashlib.sha256((text[: len(text) - m] + ordered[(k + 1) % len(ordered)][1][:m]).encode()).hexdigest())
-    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want and len(got) == len(want)
+    assert {r.doc_id: (r.n_chars, r.edited_sha256) for r in got} == want and len(got) == len(data)
     prints = {}
     for r in got:
         prints.setdefault(dict(ordered)[r.doc_id], set()).add(r.fingerprint)
@@ -199,12 +241,84 @@ def test_fingerprints_tell_edited_from_other_texts(spark):
 
 
 def test_fingerprints_of_nulls_ties_and_one_row(spark):
-    assert len(imatch.document_fingerprints(D.frame(spark)).collect()) == len({(r[0], r[1] or "") for r in D.rows()})
+    assert imatch.document_fingerprints(D.frame(spark)).count() == len(D.rows())
     (one,) = imatch.document_fingerprints(D.simple(spark, ["alone in the world"])).collect()
     assert one.near_next == 1.0
     assert imatch.document_fingerprints(D.simple(spark, [None, "", "a b"])).count() == 3
 
 
+def signed(x):
+    return x - (1 << 64) if x >> 63 else x
+
+
+def distinct_terms(text):
+    words = [w for w in re.split("[\\x00-/:-@\\[-`{-\x7f]+", (text or "").lower()) if w]
+    return {signed(xxhash.xxh64_intdigest(w.encode(), 42)) for w in words}
+
+
+def plain_fingerprint(text, band):
+    """The module's fingerprint, slot by slot."""
+    found = distinct_terms(text)
+    scale = max(0, math.ceil(math.log2(len(found) / imatch.TERMS))) if found else 0
+
+    def digest(s):
+        out = ""
+        for j in range(imatch.SLOTS):
+            own = sorted(t for t in found if t & (imatch.SLOTS * 2**s - 1) == j)
+            own = [t for t in own if t in band] or own
+            h = 42
+            for t in own:
+                h = xxhash.xxh64_intdigest(t.to_bytes(8, "little", signed=True), h)
+            out += f"{h:016x}"[-imatch.DIGITS :] if own else "-" * imatch.DIGITS
+        return out
+
+    return f"{scale}:{digest(scale)}:{digest(scale + 1)}"
+
+
+def plain_likeness(a, b):
+    if a == b:
+        return 1.0
+    p, q = a.split(":"), b.split(":")
+    sp, sq = int(p[0]), int(q[0])
+    if abs(sp - sq) > 1:
+        return 0.0
+    left, right = ([x[i : i + imatch.DIGITS] for i in range(0, len(x), imatch.DIGITS)] for x in (p[1 + max(sp, sq) - sp], q[1 + max(sp, sq) - sq]))
+    empty = "-" * imatch.DIGITS
+    either = sum(x != empty or y != empty for x, y in zip(left, right, strict=True))
+    return sum(x == y != empty for x, y in zip(left, right, strict=True)) / either if either else 0.0
+
+
+def test_fingerprints_and_likeness_equal_brute_force(spark):
+    rows = [(r[0], r[1] or "") for r in D.rows()]
+    key = lambda r: imatch.LAST_ID if r[0] is None else r[0]
+    least = {t: min(key(r) for r in rows if r[1] == t) for _, t in rows}
+    df = Counter(t for r in rows if key(r) == least[r[1]] for t in distinct_terms(r[1]))
+    band = {t for t, n in df.items() if n > 1 and len(least) * imatch.LOW <= n <= max(2.0, len(least) * imatch.HIGH)}
+    key = lambda r: (-(imatch.LAST_ID if r[0] is None else r[0]), signed(xxhash.xxh64_intdigest(r[1].encode(), 42)))
+    order = sorted(set(rows), key=key)
+    want = []
+    for i, (doc, text) in enumerate(order):
+        following = order[(i + 1) % len(order)][1]
+        m = len(text) // 3
+        edited = text[: len(text) - m] + following[:m]
+        own, other = plain_fingerprint(text, band), plain_fingerprint(edited, band)
+        row = (doc, len(text), hashlib.sha256(edited.encode()).hexdigest(), own, other, round(plain_likeness(own, other), 9), round(plain_likeness(own, plain_fingerprint(following, band)), 9))
+        want += [row] * rows.count((doc, text))
+    got = imatch.document_fingerprints(D.frame(spark)).collect()
+    assert sorted(((*r[:5], round(r[5], 9), round(r[6], 9)) for r in got), key=repr) == sorted(want, key=repr)
+
+
+def test_a_group_of_copies_with_a_third_of_all_rows_keeps_its_likeness(spark):
+    rnd = random.Random(12)
+    vocabulary = [f"word{i}" for i in range(8000)]
+    text = lambda n: " ".join(rnd.choice(vocabulary) for _ in range(n))
+    copied = text(300)
+    texts = [copied if i % 3 == 0 else text(300) for i in range(120)]
+    got = {r.doc_id: r for r in imatch.document_fingerprints(D.simple(spark, texts)).collect()}
+    assert len({got[i].fingerprint for i in range(0, 120, 3)}) == 1
+    assert sum(got[i].near_edited > 0.1 > got[i].near_next for i in range(0, 120, 3)) >= 38
+
+
 # --- SimHash ---------------------------------------------------------------------------
 
 
@@ -401,6 +515,79 @@ def test_one_edited_word_and_long_excerpts_are_found(spark):
     assert got == {(i, i) for i in range(5)} | {(5, 0)}
 
 
+def plain_tokens(text):
+    marked = regex.sub(r"([\p{Ll}0-9,;]\s++)(?=\p{Lu}\p{Ll})", r"\1^", text or "")
+    word = r"[\p{L}\p{M}\p{N}]++(?:[.,:][0-9]++)*+"
+    return regex.findall(rf"\^{word}(?:\s++\^{word})*+|{word}|[%$€]", marked)
+
+
+def plain_template(tokens):
+    numeric = lambda t: regex.match(r"^[0-9]++(?:[.,:][0-9]++)*+$", t)
+    units = decontamination.UNITS.split("|")
+    return ["<num>" if numeric(t) else "<name>" if t[0] == "^" else "<unit>" if i and numeric(tokens[i - 1]) and t.lower() in units else t.lower() for i, t in enumerate(tokens)]
+
+
+def plain_share(text, item):
+    """The share of the item's tokens that consistent windows of the text cover, window by window."""
+    raw, ours = plain_tokens(item), plain_tokens(text)
+    template, theirs = plain_template(raw), plain_template(ours)
+    if len(raw) < 2:
+        return 0.0
+    head = raw[0].replace("^", "").lower() if len(raw) <= decontamination.LEAST else None
+    raw, template = raw[1:], template[1:]
+    width = len(raw) if head is not None else next((w for most, w in decontamination.SHORTER if len(raw) <= most), decontamination.WINDOW)
+    width = min(width, len(raw))
+    values = lambda t, r, i: [x.lower() for x, y in zip(r[i : i + width], t[i : i + width], strict=True) if y[0] == "<"]
+    pattern = lambda v: [v.index(x) for x in v]
+    shifts = {}
+    for at in range(len(raw) - width + 1):
+        loose = sum(x[0] != "<" for x in template[at : at + width]) >= decontamination.LITERALS - (width < decontamination.WINDOW)
+        for place in range(len(ours) - width + 1):
+            if template[at : at + width] != theirs[place : place + width]:
+                continue
+            mine, other = values(template, raw, at), values(theirs, ours, place)
+            if pattern(mine) != pattern(other) or not (loose or mine == other):
+                continue
+            if head is not None and (not place or ours[place - 1].replace("^", "").lower() != head):
+                continue
+            shifts.setdefault(place - at, []).append((at, list(zip(mine, other, strict=True))))
+    covered = set()
+    for found in shifts.values():
+        pairs = {p for _, ps in found for p in ps}
+        if len({a for a, _ in pairs}) == len({b for _, b in pairs}) == len(pairs):
+            covered |= {at + k for at, _ in found for k in range(width)}
+    return len(covered) / len(raw)
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_decontamination_equals_a_plain_template_matcher(spark, seed):
+    rnd = random.Random(seed)
+    bits = ["3", "40", "7.5", "km", "kg", "%", "Alice", "Bob", "New York", "train", "goes", "to", "the", "shop", "and", "buys", "apples", "for", "each"]
+    piece = lambda n: [rnd.choice(bits) for _ in range(n)]
+    shared = piece(12)
+    items = [" ".join((shared if rnd.random() < 0.4 else []) + piece(rnd.choice((1, 3, 6, 10, 20, 40)))) for _ in range(25)]
+    texts = []
+    for _ in range(60):
+        w = rnd.choice(items).split(" ")
+        change = {x: rnd.choice(bits[:3]) for x in bits[:3]} if rnd.random() < 0.5 else {}
+        w = [change.get(x, x) for x in w]
+        if rnd.random() < 0.4:
+            w[rnd.randrange(len(w))] = rnd.choice(bits)
+        a = rnd.randrange(len(w)) if rnd.random() < 0.2 else 0
+        texts.append("".join(x + rnd.choice([" ", " ", " ", "\n", "  "]) for x in piece(rnd.randint(0, 9)) + w[a:] + piece(rnd.randint(0, 9))))
+    first = {}
+    for k, item in enumerate(items):
+        first.setdefault(tuple(plain_tokens(item)), k)
+    want = {(i, k) for i, t in enumerate(texts) for k in first.values() if plain_share(t, items[k]) >= decontamination.SHARE}
+    assert len(want) > 40 and leaked(spark, texts, items) == want
+
+
+def test_names_of_several_words_and_wrapped_lines_are_slots(spark):
+    item = "yesterday the clerk sent Anna Maria Smith two letters about the house she had rented near the river"
+    texts = ["so yesterday the clerk sent\n   Bob two letters about the house she had rented near the river"]
+    assert leaked(spark, texts, [item]) == {(0, 0)}
+
+
 # --- secrets ---------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
