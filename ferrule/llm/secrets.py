@@ -4,7 +4,8 @@ Three fixed kinds come from patterns. The method adds `entropy` spans: candidate
 strings are scanned by a window of WINDOW characters whose symbol counts and
 sum of c log2 c are updated by the character that enters and the one that leaves;
 where the Shannon entropy reaches the bound of the string's character class, the
-windows are a span, unless an allow-list pattern names the string.
+windows are a span, but for what the three kinds have of it, unless the allow-list names
+the string or all of the span that is long enough to matter.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import let
+from ferrule.llm.common import let, packed
 
 #: Fixed patterns of the contract.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -32,8 +33,10 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 ALLOW = (
     r"^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$",  # UUID
     r"^/?(?:[a-z]+[-_]?[0-9]{0,4}[/_=-])++[a-z]*[0-9]{0,4}$",  # paths and slugs
-    r"(?i)example|sample|placeholder|dummy|xxxx|0{8}|1234567",
 )
+#: A part of a string, between these separators, that holds such a word is no secret; the rest of the string may be one.
+ALLOWED_WORD = r"(?i)example|sample|placeholder|dummy|xxxx|0{8}|1234567"
+SEPARATOR = "[/_=-]"
 MASK = "[SECRET]"
 _BLOCK = 256
 
@@ -113,23 +116,41 @@ def _entropy_spans(text: Column) -> Column:
         return s["value"].rlike("[0-9]") & s["value"].rlike("[A-Za-z]") & ~allowed
 
     measured = F.transform(F.filter(_matches(text, CANDIDATE, 3), suspicious), lambda s: F.struct(s.alias("s"), _random_part(s["value"]).alias("r")))
+
+    def random(x: Column) -> Column:
+        part = F.substring(x["s"]["value"], x["r"]["first"] + 1, x["r"]["last"] - x["r"]["first"] + WINDOW)
+        rest = F.filter(F.split(part, SEPARATOR), lambda word: ~word.rlike(ALLOWED_WORD))
+        return (x["r"]["first"] >= 0) & (~part.rlike(ALLOWED_WORD) | let(F.array_join(rest, ""), lambda r: (F.length(r) >= WINDOW) & r.rlike("[0-9]")))
+
     return F.transform(
-        F.filter(measured, lambda x: x["r"]["first"] >= 0),
+        F.filter(measured, random),
         lambda x: F.struct((x["s"]["start"] + x["r"]["first"]).alias("start"), F.lit(3).alias("rank"), (x["s"]["start"] + x["r"]["last"] + WINDOW).alias("end"), F.lit("").alias("value")),
     ).cast(_SPAN)
 
 
-def scan(docs: DataFrame, text: str = "text") -> DataFrame:
-    """All columns plus `__spans`: array of (start, rank, end), ordered; a null text counts as empty."""
-    whole = F.coalesce(F.col(text), F.lit(""))
+def _without(span: Column, base: Column) -> Column:
+    """The parts of a span that no base span covers; base is in order of start."""
+    state = F.struct(F.array().cast(_SPAN).alias("out"), span["start"].alias("at"))
+    part = lambda start, end: F.when(start < end, F.array(F.struct(start.alias("start"), span["rank"].alias("rank"), end.alias("end"), F.lit("").alias("value")))).otherwise(F.array()).cast(_SPAN)
+
+    def step(acc: Column, o: Column) -> Column:
+        return F.struct(F.concat(acc["out"], part(acc["at"], F.least(o["start"], span["end"]))).alias("out"), F.greatest(acc["at"], o["end"]).alias("at"))
+
+    met = F.filter(base, lambda o: (o["start"] < span["end"]) & (span["start"] < o["end"]))
+    return F.aggregate(met, state, step, lambda acc: F.concat(acc["out"], part(acc["at"], span["end"])))
+
+
+def spans_of(text: Column) -> Column:
+    """Array of (start, rank, end) of all spans, ordered; a null text counts as empty."""
+    whole = F.coalesce(text, F.lit(""))
     assign = F.filter(_matches(whole, ASSIGN, 0, 2), lambda s: F.length(s["value"]) >= VALUE_LENGTH)
-    base = F.concat(assign, _matches(whole, ACCESS, 1), _matches(whole, HEX, 2))
+    base = F.array_sort(F.concat(assign, _matches(whole, ACCESS, 1), _matches(whole, HEX, 2)))
 
     def with_entropy(b: Column) -> Column:
-        fresh = F.filter(_entropy_spans(whole), lambda s: ~F.exists(b, lambda o: (o["start"] < s["end"]) & (s["start"] < o["end"])))
+        fresh = F.flatten(F.transform(_entropy_spans(whole), lambda s: _without(s, b)))
         return F.transform(F.array_sort(F.concat(b, fresh)), lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end")))
 
-    return docs.withColumn("__spans", let(base, with_entropy))
+    return let(base, with_entropy)
 
 
 def joined(spans: Column) -> Column:
@@ -140,19 +161,19 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, text: str = "text") -> DataFrame:
     """The rows with every span of the text replaced by MASK; texts without spans, and nulls, stay as they are."""
 
-    def masked(spans: Column) -> Column:
+    def masked(text: Column, spans: Column) -> Column:
         # overlapping spans: a span begins a cut only where all before it have ended
         state = F.struct(F.array().cast("array<string>").alias("out"), F.lit(0).alias("at"))
 
         def step(acc: Column, s: Column) -> Column:
-            piece = F.when(s["start"] >= acc["at"], F.array(F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(F.array().cast("array<string>"))
+            piece = F.when(s["start"] >= acc["at"], F.array(F.substring(text, acc["at"] + 1, s["start"] - acc["at"]), F.lit(MASK))).otherwise(F.array().cast("array<string>"))
             return F.struct(F.concat(acc["out"], piece).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-        return F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["at"] + 1, F.length(F.col(text)))))
+        return F.aggregate(spans, state, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(text, acc["at"] + 1, F.length(text))))
 
-    columns = docs.columns
-    scanned = scan(docs, text)
-    return scanned.withColumn(text, F.when(F.size("__spans") > 0, masked(F.col("__spans"))).otherwise(F.col(text))).select(*columns)
+    rows = packed(docs, spans=spans_of(F.col(f"`{text}`")))
+    whole = F.col("row").getField(text)
+    return rows.select(F.col("row").withField(f"`{text}`", F.when(F.size("spans") > 0, masked(whole, F.col("spans"))).otherwise(whole)).alias("row")).select("row.*")
 
 
 def secret_scan(docs: DataFrame) -> DataFrame:
@@ -161,7 +182,7 @@ def secret_scan(docs: DataFrame) -> DataFrame:
     Null texts have no spans; repeated rows give repeated rows; an empty table gives
     no rows; other columns are ignored.
     """
-    spans = F.col("__spans")
+    spans = F.col("found")
     count = lambda rank: F.size(F.filter(spans, lambda s: s["rank"] == rank)).cast("long")
-    rows = scan(docs.select("doc_id", "text")).select("doc_id", "__spans")
+    rows = docs.select("doc_id", spans_of(F.col("text")).alias("found"))
     return rows.select("doc_id", count(0).alias("n_assign"), count(1).alias("n_access"), count(2).alias("n_hex"), F.sha2(joined(F.filter(spans, lambda s: s["rank"] < 3)), 256).alias("base_sha256"), joined(spans).alias("spans"))
