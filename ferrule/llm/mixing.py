@@ -55,24 +55,26 @@ def targets(sizes: DataFrame) -> DataFrame:
 def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id") -> DataFrame:
     """doc_id, source, tie, size, source_size, target, taken for every row (tie: md5 of the text).
 
-    A null id orders as the empty text; repeated rows are interchangeable.
+    A null id orders as the empty text; repeated rows are interchangeable, and follow
+    each other as one entry until the cut.
     """
     digest = F.md5(F.coalesce(F.col(text), F.lit("")))
     random = F.md5(F.concat_ws(":", F.coalesce(F.col(key).cast("string"), F.lit("")), digest))
-    rows = held(
-        docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), digest.alias("tie"), size_of(F.col(text)).alias("size"), F.conv(F.substring(random, 1, 15), 16, 10).cast("long").alias("key")))
-    sources = held(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("docs"))))
+    each = docs.select(F.col(key).alias("doc_id"), F.col(source).alias("source"), digest.alias("tie"), size_of(F.col(text)).alias("size"), F.conv(F.substring(random, 1, 15), 16, 10).cast("long").alias("key"))
+    rows = held(each.groupBy("doc_id", "source", "tie", "size", "key").agg(F.count("*").alias("copies")))
+    sources = held(targets(rows.groupBy("source").agg(F.sum(F.col("size") * F.col("copies")).alias("source_size"), F.sum("copies").alias("docs"))))
     # a source with n documents has about n / SLICE slices
     slices = (F.floor(F.col("docs") / SLICE) + 1).cast("long")
     named = sources.select(F.col("source").alias("s"), "source_size", "target", slices.alias("slices"))
     side = F.broadcast if sources.count() <= BROADCAST else (lambda x: x)
     dealt = rows.join(side(named), F.col("source").eqNullSafe(F.col("s"))).withColumn("slice", F.floor(F.col("key") / (F.lit(_KEYS) / F.col("slices"))).cast("long"))
     dealt = held(dealt.drop("s", "slices"))
-    sums = dealt.groupBy("source", "slice").agg(F.sum("size").alias("words"))
+    sums = dealt.groupBy("source", "slice").agg(F.sum(F.col("size") * F.col("copies")).alias("words"))
     before = W.partitionBy("source").orderBy("slice").rowsBetween(W.unboundedPreceding, -1)
     sums = held(sums.select(F.col("source").alias("s"), F.col("slice").alias("p"), F.coalesce(F.sum("words").over(before), F.lit(0)).alias("start")))
     inside = W.partitionBy("source", "slice").orderBy("key", F.col("doc_id").asc_nulls_first(), "tie").rowsBetween(W.unboundedPreceding, -1)
-    placed = dealt.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("p"))).withColumn("start", F.col("start") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    placed = dealt.join(sums, F.col("source").eqNullSafe(F.col("s")) & (F.col("slice") == F.col("p"))).withColumn("start", F.col("start") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(inside), F.lit(0)))
+    placed = placed.withColumn("copy", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1))).withColumn("start", F.col("start") + F.col("copy") * F.col("size"))
     budget = F.round("target").cast("long")
     epochs = F.when(F.col("source_size") > 0, F.floor(budget / F.col("source_size")).cast("long")).otherwise(F.lit(0).cast("long"))
     rest = budget - epochs * F.col("source_size")
