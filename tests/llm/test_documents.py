@@ -193,6 +193,12 @@ def test_mixing(spark):
     assert Counter(map(tuple, got)) == Counter(map(tuple, again))
 
 
+def test_a_source_that_is_one_row_repeated(spark):
+    rows = [(1, "a b c", "en", "s0", 0)] * 50 + [(i, "x y", "en", "s1", 0) for i in range(2, 40)]
+    mixed = mixing.mix(D.frame(spark, [(*r, *("c" for _ in D.CLASH)) for r in rows])).where("source = 's0'").collect()
+    assert len(mixed) == 50 and sum(r.taken for r in mixed) == round(mixed[0].target) and max(r.taken for r in mixed) - min(r.taken for r in mixed) <= 3
+
+
 def test_targets_are_reshared_until_none_is_above(spark):
     rnd = random.Random(5)
     for _ in range(6):
@@ -640,6 +646,24 @@ def test_incremental_entropy_equals_counting(spark):
     assert [tuple(r.r) for r in rows] == [entropy_windows(r.v) for r in rows]
 
 
+def test_entropy_spans_keep_what_base_spans_leave(spark):
+    key = "zX9kQ2mV7bT4wR1nY8cL5pQZ"
+    texts = [
+        f"see {key}" + "fedc0ba987a65b43" * 2 + f"g{key} end",  # a hex run inside a token
+        f"/samples/{key}gH3jK6 here", "a sample1234abcd5678efghXYZ90 here", f"x {key}/example",
+    ]
+    got = [dict.fromkeys(filter(None, r.spans.split(","))) for r in secrets.secret_scan(D.simple(spark, texts)).orderBy("doc_id").collect()]
+    assert list(got[0]) == ["entropy:4:28", "hex:28:60", "entropy:60:85"]
+    assert len(got[1]) == 1 and next(iter(got[1])).endswith(":39") and not got[2] and len(got[3]) == 1
+    assert [r.text for r in secrets.redact(D.simple(spark, texts)).orderBy("doc_id").collect()][0] == "see [SECRET][SECRET][SECRET] end"
+
+
+def test_redaction_of_tables_with_any_columns(spark):
+    docs = D.simple(spark, ["token=abcdefgh1"]).withColumnRenamed("h", "spans").withColumnRenamed("k", "row").withColumnRenamed("run", "__spans")
+    got = secrets.redact(docs)
+    assert got.columns == docs.columns and got.first()[1:2] == ("[SECRET]",) and got.first()["spans"] == got.first()["row"] == "c"
+
+
 def test_redaction(spark):
     texts = ["a password=hunter2hunter2 b", "clean", None, "token=0123456789abcdef0123456789abcdef é"]
     got = [r.text for r in secrets.redact(D.simple(spark, texts)).orderBy("doc_id").collect()]
