@@ -1,20 +1,22 @@
-"""Command line: ferrule PATH {index,symbol-lookup,get-source,query-call-graph} ..."""
+"""Command line: ferrule PATH {index,mcp,symbol-lookup,get-source,query-call-graph} ..."""
 
 from __future__ import annotations
 
 import argparse
-import logging
 import os
 import sys
 
 from pyspark.sql import SparkSession
 
-from ferrule import render
+from ferrule import logs, render
 from ferrule.operators import lookups
+from ferrule.server import Server
 from ferrule.sources import tree
-from ferrule.sources.cache import FactCache
+from ferrule.sources.cache import FactCache, index_cached
+from ferrule.streaming.freshness import FreshGraph
 
-log = logging.getLogger("ferrule")
+#: Folder in a project for its cache and logs.
+DATA = ".ferrule"
 
 
 def parser() -> argparse.ArgumentParser:
@@ -23,8 +25,10 @@ def parser() -> argparse.ArgumentParser:
     p.add_argument("--cache", help="folder of the fact cache (default: .ferrule in the path)")
     p.add_argument("--cache-overhead", type=int, default=25, help="percent of entries kept beyond the present files")
     p.add_argument("--table", action="store_true", help="compact tabular output")
+    p.add_argument("--quiet", action="store_true", help="log to the file only")
     sub = p.add_subparsers(dest="command", required=True)
     sub.add_parser("index")
+    sub.add_parser("mcp", help="serve the tools over standard input and output")
     s = sub.add_parser("symbol-lookup")
     s.add_argument("file")
     s.add_argument("--kind")
@@ -39,9 +43,13 @@ def parser() -> argparse.ArgumentParser:
     return p
 
 
+def cache_folder(args: argparse.Namespace) -> str:
+    return args.cache or os.path.join(args.path, DATA)
+
+
 def answer(spark: SparkSession, args: argparse.Namespace):
-    cache = FactCache(spark, args.cache or os.path.join(args.path, ".ferrule"), args.cache_overhead)
-    graph, stats = cache.refresh(tree.decode(tree.scan(spark, args.path)))
+    cache = FactCache.open(spark, cache_folder(args), args.cache_overhead)
+    graph, stats = index_cached(tree.decode(tree.scan(spark, args.path)), cache)
     if args.command == "symbol-lookup":
         return lookups.symbol_lookup(graph, args.file, args.kind)
     if args.command == "get-source":
@@ -58,7 +66,12 @@ def main(argv: list[str] | None = None) -> int:
         return 2
     spark = SparkSession.builder.appName("ferrule").config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
+    log = logs.init(os.path.join(cache_folder(args), "logs"), quiet=args.quiet or args.command != "mcp")
     log.info("indexing %s", args.path)
+    if args.command == "mcp":
+        fresh = FreshGraph(spark, args.path, cache_folder(args), overhead_percent=args.cache_overhead)
+        Server(fresh.graph, args.table).serve(sys.stdin, sys.stdout)
+        return 0
     found = answer(spark, args)
     print(render.tabular(found) if args.table else render.pretty(found))
     return 0

@@ -57,40 +57,44 @@ _PATH = "array<struct<f:string,p:bigint>>"
 
 
 def reach(starts: DataFrame, graph: Graph, direction: str, depth: int) -> DataFrame:
-    """(name, file, depth, path) of the states reached from the starts within `depth` steps, the starts themselves left out.
+    """(name, file, depth, path, line) of the states reached from the starts within `depth` steps, the starts themselves left out.
 
-    path orders them as a breadth-first search meets them. depth 0 gives none.
+    path orders them as a breadth-first search meets them; line is that of the last step's
+    call site. depth 0 gives none.
     """
     step = callee_steps if direction == "callees" else caller_steps
     spark = starts.sparkSession
     frontier = starts.select("name", "file", F.array().cast(_PATH).alias("path"))
-    seen = frontier.select("name", "file", F.lit(0).cast("long").alias("depth"), "path")
+    seen = frontier.select("name", "file", F.lit(0).cast("long").alias("depth"), "path", F.lit(None).cast("long").alias("line"))
     for level in range(1, depth + 1):
-        reached = step(frontier, graph).groupBy(F.col("dst_name").alias("name"), F.col("dst_file").alias("file")).agg(F.min("path").alias("path"))
+        reached = step(frontier, graph).groupBy(F.col("dst_name").alias("name"), F.col("dst_file").alias("file")).agg(F.min("path").alias("path"), F.min_by("line", "path").alias("line"))
         fresh = reached.join(seen.select("name", "file"), ["name", "file"], "left_anti")
         if depth > 1:  # cuts the plan, which doubles with each level otherwise
             fresh = materialise(fresh, "level")
             if level < depth and fresh.isEmpty():
                 break
-        frontier = fresh
-        seen = seen.unionByName(frontier.select("name", "file", F.lit(level).cast("long").alias("depth"), "path"))
-    return seen.where("depth > 0") if depth else spark.createDataFrame([], f"name string, file string, depth long, path {_PATH}")
+        seen = seen.unionByName(fresh.select("name", "file", F.lit(level).cast("long").alias("depth"), "path", "line"))
+        frontier = fresh.select("name", "file", "path")
+    return seen.where("depth > 0") if depth else spark.createDataFrame([], f"name string, file string, depth long, path {_PATH}, line long")
 
 
 def reach_by_name(start: str, calls: DataFrame, direction: str, depth: int) -> DataFrame:
-    """(name, depth) of the functions reached by name alone, without regard to files."""
+    """(name, depth, path) of the functions reached by name alone, without regard to files.
+
+    depth and path order them as a breadth-first search meets them.
+    """
     src, dst = ("caller", "callee") if direction == "callees" else ("callee", "caller")
-    edges = calls.select(F.col(src).alias("src"), F.col(dst).alias("dst")).distinct()
+    edges = calls.groupBy(F.col(src).alias("src"), F.col(dst).alias("dst")).agg(F.min(_place()).alias("place"))
     spark = calls.sparkSession
-    frontier = spark.createDataFrame([(start,)], "name string")
+    frontier = spark.createDataFrame([(start,)], "name string").withColumn("path", F.array().cast(_PATH))
     seen = frontier.withColumn("depth", F.lit(0).cast("long"))
     for level in range(1, depth + 1):
-        reached = edges.join(frontier, F.col("src") == F.col("name")).select(F.col("dst").alias("name")).distinct()
+        reached = edges.join(frontier, F.col("src") == F.col("name")).groupBy(F.col("dst").alias("name")).agg(F.min(F.concat("path", F.array("place"))).alias("path"))
         frontier = reached.join(seen.select("name"), "name", "left_anti")
         if depth > 1:
             frontier = materialise(frontier, "level")
         seen = seen.unionByName(frontier.withColumn("depth", F.lit(level).cast("long")))
-    return seen.where("depth > 0")
+    return seen.where("depth > 0").select("name", "depth", "path")
 
 
 def call_site_lines(steps: DataFrame) -> DataFrame:

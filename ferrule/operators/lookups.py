@@ -102,11 +102,14 @@ def source_answer(graph: Graph, name: str, file: str | None = None) -> DataFrame
 
 
 def get_source(graph: Graph, name: str, file: str | None = None) -> str | dict[str, Any]:
-    rows = source_rows(graph, name, file).orderBy("arm", "file", "pos").collect()
-    if not rows:
+    rows = source_rows(graph, name, file)
+    few = rows.limit(2).collect()
+    if not few:
         return {"error": f"symbol '{name}' not found"}
-    if len(rows) == 1:
-        return f"// file: {rows[0]['file']}\n// line: {rows[0]['line']}\n\n{rows[0]['source']}"
+    if len(few) == 1:
+        return f"// file: {few[0]['file']}\n// line: {few[0]['line']}\n\n{few[0]['source']}"
+    # of an ambiguous name no source is shown, so none is fetched
+    rows = rows.orderBy("arm", "file", "pos").select("name", "kind", "file", "signature").collect()
     return {"ambiguous": True, "matches": [{k: r[k] for k in ("name", "kind", "file", "signature")} for r in rows]}
 
 
@@ -122,12 +125,13 @@ def entries(graph: Graph, name: str, file: str, direction: str, depth: int = 1)
     spark = graph.functions.sparkSession
     starts = spark.createDataFrame([(name, file)], "name string, file string")
     found = G.reach(starts, graph, direction, depth)
-    if depth != 1:
-        return found.select("name", "file", F.lit(None).cast("long").alias("line"), "depth", "path")
-    step = G.callee_steps if direction == "callees" else G.caller_steps
-    # the first edge with that name and caller file, whichever definition it resolves to
-    steps = step(starts.select("name", "file", F.array().cast("array<struct<f:string,p:bigint>>").alias("path")), graph)
-    return found.join(G.call_site_lines(steps), ["name", "file"], "left").select("name", "file", "line", "depth", "path")
+    line = F.col("line") if depth == 1 else F.lit(None).cast("long")
+    return found.select("name", "file", line.alias("line"), "depth", "path")
+
+
+def answer_parts(direction: str) -> list[str]:
+    """The lists that an answer has for a direction; none for one that isn't known."""
+    return [what for what in ("callers", "callees") if direction in (what, "both")]
 
 
 def call_graph_error(graph: Graph, name: str, file: str | None) -> dict[str, Any]:
@@ -144,8 +148,7 @@ def query_call_graph(graph: Graph, name: str, direction: str, file: str | None =
     if len(own) > 1:
         return {"ambiguous": True, "matches": [{"name": name, "kind": "function", "file": r["file"], "signature": r["signature"]} for r in own]}
     out: dict[str, Any] = {"name": name, "file": own[0]["file"]}
-    for what in ("callers", "callees"):
-        if direction in (what, "both"):
-            rows = entries(graph, name, own[0]["file"], what, depth).orderBy("depth", "path").collect()
-            out[what] = [{"name": r["name"], "file": r["file"]} | ({} if r["line"] is None else {"line": r["line"]}) for r in rows]
+    for what in answer_parts(direction):
+        rows = entries(graph, name, own[0]["file"], what, depth).orderBy("depth", "path").collect()
+        out[what] = [{"name": r["name"], "file": r["file"]} | ({} if r["line"] is None else {"line": r["line"]}) for r in rows]
     return out

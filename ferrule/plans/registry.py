@@ -6,6 +6,7 @@ from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ferrule.functions import scalars as S
@@ -52,11 +53,7 @@ def _reach(direction: str, depth: int) -> Query:
     def run(spark, sf_dir):
         graph = A.graph(spark, sf_dir)
         found = G.reach(_starts(graph), graph, direction, depth)
-        if depth != 1:
-            return found.select("name", "file", "depth")
-        step = G.callee_steps if direction == "callees" else G.caller_steps
-        steps = step(_starts(graph).select("name", "file", F.array().cast("array<struct<f:string,p:bigint>>").alias("path")), graph)
-        return found.join(G.call_site_lines(steps), ["name", "file"], "left").select("name", "file", "depth", "line")
+        return found.select("name", "file", "depth", *(["line"] if depth == 1 else []))
 
     return run
 
@@ -114,10 +111,18 @@ _add("call_graph_both_d1", _both, _both_sql)
 
 def _name_bfs(direction: str, depth: int) -> tuple[Query, str]:
     src, dst = ("caller", "callee") if direction == "callees" else ("callee", "caller")
+    # place: where a breadth-first search meets the name
     sql = f""", walk AS (
-  SELECT 'fn_2' AS name, CAST(0 AS BIGINT) AS depth UNION SELECT c.{dst}, w.depth + 1 FROM walk w JOIN calls c ON c.{src} = w.name WHERE w.depth < {depth}
-) SELECT name, min(depth) AS depth FROM walk WHERE name <> 'fn_2' GROUP BY name"""
-    return lambda spark, sf_dir: G.reach_by_name("fn_2", A.graph(spark, sf_dir).calls, direction, depth), sql
+  SELECT 'fn_2' AS name, CAST(0 AS BIGINT) AS depth, CAST([] AS STRUCT(f VARCHAR, p BIGINT)[]) AS path
+  UNION ALL SELECT c.{dst}, w.depth + 1, list_append(w.path, {{'f': c.caller_file, 'p': CAST(c.pos AS BIGINT)}}) FROM walk w JOIN calls c ON c.{src} = w.name WHERE w.depth < {depth}
+), met AS (SELECT name, depth, min(path) AS path FROM walk w WHERE name <> 'fn_2' AND depth = (SELECT min(depth) FROM walk v WHERE v.name = w.name) GROUP BY name, depth)
+SELECT name, depth, row_number() OVER (ORDER BY depth, path) AS place FROM met"""
+
+    def run(spark, sf_dir):
+        found = G.reach_by_name("fn_2", A.graph(spark, sf_dir).calls, direction, depth)
+        return found.select("name", "depth", F.row_number().over(W.orderBy("depth", "path")).cast("long").alias("place"))
+
+    return run, sql
 
 
 for _d in ("callees", "callers"):
@@ -162,7 +167,7 @@ _add("external_callees", _external, "SELECT callee, count(*) AS call_sites, coun
 
 
 def _graph_answer(name: str, direction: str, file: str | None = None) -> Query:
-    """outcome, name, file, signature or message of query_call_graph's candidate selection."""
+    """outcome, name, file, signature or message of query_call_graph's candidate selection, and the lists that an answer has."""
 
     def run(spark, sf_dir):
         graph = A.graph(spark, sf_dir)
@@ -171,7 +176,8 @@ def _graph_answer(name: str, direction: str, file: str | None = None) -> Query:
         found = own.join(F.broadcast(n)).select(F.when(F.col("n") > 1, "ambiguous").otherwise("found").alias("outcome"), "name", "file", F.when(F.col("n") > 1, F.col("signature")).alias("signature"))
         message = Q.call_graph_error(graph, name, file)["error"]
         missing = n.where("n = 0").select(F.lit("error").alias("outcome"), F.lit(name).alias("name"), F.lit(None).cast("string").alias("file"), F.lit(message).alias("signature"))
-        return found.unionByName(missing)
+        parts = F.when(F.col("outcome") == "found", ",".join(Q.answer_parts(direction))).alias("parts")
+        return found.unionByName(missing).select("*", parts)
 
     return run
 
@@ -179,20 +185,22 @@ def _graph_answer(name: str, direction: str, file: str | None = None) -> Query:
 _SIGNATURE = "trim(split_part(split_part(source, '*/', 2), '{', 1), ' ' || chr(10))"
 
 
-def _answer_sql(name: str, file: str | None, message: str) -> str:
+def _answer_sql(name: str, file: str | None, message: str, parts: str) -> str:
     wanted = f"name = '{name}'" + (f" AND contains(lower(file), lower('{file}'))" if file is not None else "")
     return f""", own AS (SELECT name, file, {_SIGNATURE} AS signature, count(*) OVER () AS n FROM functions WHERE {wanted})
-SELECT CASE WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS outcome, name, file, CASE WHEN n > 1 THEN signature END AS signature FROM own
-UNION ALL SELECT 'error', '{name}', NULL, '{message}' WHERE NOT EXISTS (SELECT * FROM own)"""
+SELECT CASE WHEN n > 1 THEN 'ambiguous' ELSE 'found' END AS outcome, name, file, CASE WHEN n > 1 THEN signature END AS signature, CASE WHEN n = 1 THEN '{parts}' END AS parts FROM own
+UNION ALL SELECT 'error', '{name}', NULL, '{message}', NULL WHERE NOT EXISTS (SELECT * FROM own)"""
 
 
-for _q, _name, _dir, _file, _msg in (
-    ("call_graph_ambiguous", "fn_2", "both", None, ""),
-    ("call_graph_not_found", "ext_1", "callees", None, "function ''ext_1'' not found"),
-    ("call_graph_not_in_file", "fn_2", "callees", "nowhere", "function ''fn_2'' not found in files matching ''nowhere''"),
-    ("call_graph_bad_direction", "fn_3", "sideways", ".c", ""),
+for _q, _name, _dir, _file, _msg, _parts in (
+    ("call_graph_ambiguous", "fn_2", "both", None, "", "callers,callees"),
+    ("call_graph_not_found", "ext_1", "callees", None, "function ''ext_1'' not found", "callees"),
+    ("call_graph_not_in_file", "fn_2", "callees", "nowhere", "function ''fn_2'' not found in files matching ''nowhere''", "callees"),
+    ("call_graph_bad_direction", "fn_3", "sideways", ".c", "", ""),
+    ("call_graph_both_directions", "fn_3", "both", ".c", "", "callers,callees"),
+    ("call_graph_callers_only", "fn_3", "callers", ".c", "", "callers"),
 ):
-    _add(_q, _graph_answer(_name, _dir, _file), _answer_sql(_name, _file, _msg))
+    _add(_q, _graph_answer(_name, _dir, _file), _answer_sql(_name, _file, _msg, _parts))
 
 # --- lookups ---------------------------------------------------------------------------
 
@@ -251,18 +259,19 @@ _add("find_functions_in_file", lambda spark, sf_dir: G.find_functions_in_file(A.
 
 
 def _merge(spark, sf_dir):
-    """Two halves of the graph put together again have as many facts as the whole."""
+    """Two halves of the graph put together again have the facts of the whole."""
     graph = A.graph(spark, sf_dir)
     half = lambda k: type(graph)(**{n: getattr(graph, n).where(F.col("pos") % 2 == k) for n in ("functions", "calls", "symbols", "types", "globals")})
     merged = half(0).merge(half(1))
     out = None
     for name in ("functions", "calls", "symbols", "types", "globals"):
-        one = getattr(merged, name).agg(F.count("*").alias("facts")).select(F.lit(name).alias("fact"), "facts")
+        key = F.concat_ws(":", "caller" if name == "calls" else "name", "caller_file" if name == "calls" else "file", F.col("pos").cast("string"))
+        one = getattr(merged, name).agg(F.count("*").alias("facts"), F.count_distinct(key).alias("places"), F.min(key).alias("first"), F.max(key).alias("last")).select(F.lit(name).alias("fact"), "facts", "places", "first", "last")
         out = one if out is None else out.unionByName(one)
     return out
 
 
-_add("merge_union", _merge, " UNION ALL ".join(f"SELECT '{n}' AS fact, count(*) AS facts FROM {n}" for n in ("functions", "calls", "symbols", "types", "globals")))
+_add("merge_union", _merge, " UNION ALL ".join(f"SELECT '{n}' AS fact, count(*) AS facts, count(DISTINCT k) AS places, min(k) AS first, max(k) AS last FROM (SELECT {'caller' if n == 'calls' else 'name'} || ':' || {'caller_file' if n == 'calls' else 'file'} || ':' || pos AS k FROM {n})" for n in ("functions", "calls", "symbols", "types", "globals")))
 
 # --- scalars ---------------------------------------------------------------------------
 

@@ -17,8 +17,12 @@ _RAW = "path string, raw binary, mtime timestamp"
 
 
 def walk(root: str) -> list[str]:
-    """Paths of all .c and .h files under a folder, hidden ones included, in byte order; what can't be listed is left out."""
-    found = [os.path.join(folder, name) for folder, _, names in os.walk(root, onerror=None) for name in names if name.endswith(SUFFIXES)]
+    """Paths under a folder whose extension is .c or .h, hidden ones included, in byte order; what can't be listed is left out.
+
+    A name that is nothing but `.c` has no extension. A folder of such a name is listed
+    too: it can't be read as a file, which counts as an error.
+    """
+    found = [os.path.join(folder, name) for folder, below, names in os.walk(root, onerror=None) for name in [*names, *below] if os.path.splitext(name)[1] in SUFFIXES]
     return sorted(found, key=os.fsencode)
 
 
@@ -77,7 +81,7 @@ def from_rows(rows: DataFrame) -> DataFrame:
 
 
 def is_source(path) -> F.Column:
-    return path.rlike(r"\.[ch]$")
+    return path.rlike(r"[^/]\.[ch]$")
 
 
 FILES = schema.FILES

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.index import Graph
 from ferrule.sources import tree
-from ferrule.sources.cache import FactCache
+from ferrule.sources.cache import FactCache, index_cached
 
 #: Seconds within which a second query doesn't look at the files again.
 DEBOUNCE = 2.0
@@ -33,8 +33,8 @@ def changes(before: DataFrame, after: DataFrame) -> DataFrame:
 class FreshGraph:
     """A project's graph, indexed at once and again whenever its files differ from the last snapshot."""
 
-    def __init__(self, spark: SparkSession, root: str, cache: str, debounce: float = DEBOUNCE):
-        self.spark, self.root, self.cache, self.debounce = spark, root, FactCache(spark, cache), debounce
+    def __init__(self, spark: SparkSession, root: str, cache: str, debounce: float = DEBOUNCE, overhead_percent: int = 25):
+        self.spark, self.root, self.cache, self.debounce = spark, root, FactCache.open(spark, cache, overhead_percent), debounce
         self._lock, self._checked, self._seen = threading.Lock(), float("-inf"), None
         self._graph: Graph | None = None
         self.stats: DataFrame | None = None
@@ -60,7 +60,7 @@ class FreshGraph:
                     listing = self._listing()
                     if listing != self._seen:
                         files = tree.decode(tree.scan(self.spark, self.root))
-                        self._graph, self.stats = self.cache.refresh(files)
+                        self._graph, self.stats = index_cached(files, self.cache)
                         self._seen = listing
                     self._checked = time.monotonic()
         return self._graph

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from ferrule.functions import scalars as S
 from ferrule.operators import evaluation as E
+from ferrule.operators import judging as J
 
 
 def test_loaders_and_totals(spark, tmp_path):
@@ -21,6 +22,32 @@ def test_loaders_and_totals(spark, tmp_path):
     assert E.task_counts(results).first().asDict() == {"responses": 2, "tasks": 1, "per_task": 2}
 
 
+def test_blind_files_scores_and_report(spark, tmp_path):
+    questions = [{"id": f"t{k}", "question": "?", "rubric": [{"criterion": "a", "points": 3}, {"criterion": "b", "points": 1}]} for k in (1, 2, 3)]
+    (tmp_path / "q.json").write_text(json.dumps(questions))
+    for run in ("r1", "r2"):
+        (tmp_path / run).mkdir()
+        for cond in E.CONDITIONS:
+            (tmp_path / run / f"{cond}.json").write_text(json.dumps([{"task_id": t, "response": f"{run} {cond} {t}", "duration_sec": 1.5} for t in ("t1", "t2", "other")]))
+    dirs = [str(tmp_path / "r1"), str(tmp_path / "r2")]
+    rubric, results, out = E.load_questions(spark, str(tmp_path / "q.json")), E.load_results(spark, dirs), str(tmp_path / "out")
+    assert J.write_blind(results, rubric, out, 7, dirs) == {"tasks": 2, "responses": 8, "per_task": 4}
+    known, responses = (json.loads((tmp_path / "out" / n).read_text()) for n in (J.MAP, J.RESPONSES))
+    assert known["seed"] == 7 and known["result_dirs"] == dirs and sorted(known["map"]["t1"]) == list("ABCD")
+    assert all(responses[t][k] == f"{who['run']} {who['condition']} {t}" for t, labels in known["map"].items() for k, who in labels.items())
+    template = json.loads((tmp_path / "out" / J.TEMPLATE).read_text())
+    assert template["t2"]["C"] == {"criteria_scores": [None, None], "total": None, "notes": ""}
+    exp = next(k for k, w in known["map"]["t1"].items() if w == {"run": "r1", "condition": "exp"})
+    ctrl = next(k for k, w in known["map"]["t1"].items() if w == {"run": "r2", "condition": "ctrl"})
+    J.apply_scores(spark, out, rubric, {("t1", exp): [9.0, 0.5], ("t1", ctrl): [None, 1.0]})
+    lines = J.report(spark, out, rubric)
+    assert len(lines) == 2 + 8 + 4 + 1 and "exp     score   3.0/4.0 (75.0%)  [1 resp]  time=1.5s" in lines[-1]
+    judgment = json.loads((tmp_path / "out" / J.JUDGMENT).read_text())
+    assert judgment["t1"][exp]["total"] == 3 and judgment["t1"][ctrl]["total"] is None and judgment["_meta"]["condition_totals"] == {"exp": {"score": 3.0, "max": 4.0, "count": 1, "secs": 1.5}}
+    with pytest.raises(ValueError, match="no results"):
+        J.write_blind(results.where("task_id = 'other'"), rubric, out, 7, dirs)
+
+
 def test_more_responses_than_letters(spark):
     many = spark.createDataFrame([("t", f"r{i}", "exp") for i in range(27)], "task_id string, run string, condition string")
     with pytest.raises(Exception, match="more than 26"):

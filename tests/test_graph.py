@@ -118,6 +118,32 @@ def test_traversal_follows_the_search_order(spark, seed):
             assert [(r.name, r.file, r.depth) for r in got] == spec(functions, calls, start, direction, depth), (direction, depth)
 
 
+def plain_names(calls, start, direction, depth):
+    """Breadth-first search over names alone, calls in the order of file and place."""
+    seen, queue, out = {start}, [(start, 0)], []
+    while queue:
+        name, d = queue.pop(0)
+        for caller, callee, _, _ in sorted(calls, key=lambda c: (c[2], c[3])) if d < depth else []:
+            src, dst = (caller, callee) if direction == "callees" else (callee, caller)
+            if src == name and dst not in seen:
+                seen.add(dst)
+                out.append((dst, d + 1))
+                queue.append((dst, d + 1))
+    return out
+
+
+@pytest.mark.parametrize("seed", range(2))
+def test_search_by_name_follows_the_search_order(spark, seed):
+    rnd = random.Random(seed)
+    names = [f"f{i}" for i in range(9)]
+    calls = [(*rnd.sample(names, 2), rnd.choice("abc"), p) for p in range(25)]
+    frame = spark.createDataFrame(calls, "caller string, callee string, caller_file string, pos long")
+    for direction in ("callees", "callers"):
+        for depth in (0, 1, 2, 4):
+            got = G.reach_by_name("f0", frame, direction, depth).orderBy("depth", "path").collect()
+            assert [(r.name, r.depth) for r in got] == plain_names(calls, "f0", direction, depth)
+
+
 def test_tabular_output():
     answer = {"file": "a.c", "symbols": [{"name": "x", "line": 1, "signature": "int x, y;"}]}
     assert render.tabular(answer) == 'file: a.c\nsymbols[1]{name,line,signature}:\n  x,1,"int x, y;"'
