@@ -3,7 +3,7 @@
 Character n-grams of orders 1 to 3 are hashed into a fixed number of dimensions,
 weighted by TF-IDF and normalised. Spherical k-means gives several centroids per
 language; a text goes to the language of the centroid with the highest cosine. Its
-distance (1 - cosine) beyond what training texts of the same length show rejects it.
+distance (1 - cosine) well beyond what held-out texts of the same length show rejects it.
 """
 
 from __future__ import annotations
@@ -17,18 +17,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ferrule.llm.common import small_batches
+from ferrule.llm.common import sampled, small_batches
 
 UNKNOWN = "und"
 #: Hashed n-gram dimensions; fixes the size of the model at DIM floats a centroid.
 DIM = 1 << 14
-#: The classifier is fitted on a hash sample: about PER_LANGUAGE labelled texts of each
-#: language and about SAMPLE in all, so its size doesn't depend on the corpus.
-PER_LANGUAGE, SAMPLE = 400, 8000
+#: The classifier is fitted on a hash sample of distinct texts: about PER_LANGUAGE labelled texts of each
+#: language and about SAMPLE in all, of the LANGUAGES most frequent labels, so its size doesn't depend on the corpus.
+PER_LANGUAGE, SAMPLE, LANGUAGES = 400, 8000, 500
 CENTROIDS, ROUNDS = 3, 12
-#: A text is rejected below SLACK times the REJECT_QUANTILE of the cosines of training texts of
-#: its length (by powers of two); a length needs ENOUGH of them.
-REJECT_QUANTILE, SLACK, ENOUGH = 0.01, 0.3, 30
+#: A text is rejected below SLACK times the REJECT_QUANTILE of the cosines that held-out texts of its length (by
+#: powers of two) have; a length needs ENOUGH of them. Texts of fewer letters than SHORT vary more and get SHORT_SLACK.
+REJECT_QUANTILE, SLACK, SHORT, SHORT_SLACK, ENOUGH = 0.01, 0.6, 128, 0.3, 30
+#: One in so many texts of the sample is held out for that.
+HELD_OUT = 4
 _PIECE = 1 << 20
 _MULTIPLIERS = np.array([[0x9E3779B1, 0, 0], [0x85EBCA77, 0xC2B2AE3D, 0], [0x27D4EB2F, 0x165667B1, 0xD3A2646D]], dtype=np.uint32)
 
@@ -42,25 +44,32 @@ def gram_counts(text: str | None) -> tuple[np.ndarray, np.ndarray, int]:
     """(dimension ids, counts, letters) of a whole text; long texts are taken piece by piece."""
     total, n_letters = np.zeros(DIM, dtype=np.int64), 0
     text = text or ""
-    for start in range(0, len(text), _PIECE):
-        # two code points of the piece before, so that no n-gram is lost
-        piece = text[max(0, start - 2) : start + _PIECE].lower()
+    before, after_letter = np.array([32], dtype=np.uint32), False  # up to two points that began earlier n-grams, and whether a letter came last
+    for start in range(0, len(text) + 1, _PIECE):
+        piece = text[start : start + _PIECE].lower()
         points = np.frombuffer(piece.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         letter = _letters()[points]
         n_letters += int(letter.sum())
         points = np.where(letter, points, np.uint32(32))
-        keep = letter.copy()
-        keep[1:] |= letter[:-1]
-        points = np.concatenate([[32], points[keep], [32]]).astype(np.uint32)
+        keep = letter | np.concatenate([[after_letter], letter[:-1]])[: len(letter)]
+        after_letter = bool(letter[-1]) if len(letter) else after_letter
+        fresh = points[keep]
+        if start + _PIECE > len(text):
+            fresh = np.concatenate([fresh, [32]])
+        points = np.concatenate([before, fresh]).astype(np.uint32)
+        # n-grams that end in a fresh point; the first piece also has those of the leading space
+        old = len(before) if start else 0
         ids = []
         for order in (1, 2, 3):
-            mixed = np.zeros(max(0, len(points) - order + 1), dtype=np.uint32)
+            own = points[max(0, old - order + 1) :]
+            mixed = np.zeros(max(0, len(own) - order + 1), dtype=np.uint32)
             for k in range(order):
-                mixed += points[k : k + len(mixed)] * _MULTIPLIERS[order - 1, k]
+                mixed += own[k : k + len(mixed)] * _MULTIPLIERS[order - 1, k]
             mixed ^= mixed >> np.uint32(15)
             mixed *= np.uint32(0x2C1B3C6D)
             ids.append(mixed >> np.uint32(32 - 14))
         total += np.bincount(np.concatenate(ids), minlength=DIM)
+        before = points[-2:]
     found = np.flatnonzero(total)
     return found, total[found], n_letters
 
@@ -108,66 +117,95 @@ def _clusters(x: np.ndarray, k: int) -> np.ndarray:
     return centres
 
 
+def _centres(sample: list[dict], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Centroids of every language and whose they are."""
+    centres, of = [], []
+    for j, name in enumerate(model.names):
+        own = [r for r in sample if r["lang"] == name]
+        x = np.zeros((len(own), DIM), dtype=np.float32)
+        for i, r in enumerate(own):
+            x[i, r["ids"]] = model.vector(r["ids"], r["counts"])
+        c = _clusters(x, CENTROIDS) if len(own) else np.zeros((0, DIM), dtype=np.float32)
+        centres.append(c)
+        of += [j] * len(c)
+    return np.concatenate([np.zeros((0, DIM), dtype=np.float32), *centres]), np.array(of, dtype=int)
+
+
+def fit_on(sample: list[dict]) -> Model:
+    """A model from rows of lang, h (a hash), n (letters), ids and counts.
+
+    The bounds of rejection come from texts that had no part in the centroids they are
+    compared with; the model's own centroids are of all of the sample.
+    """
+    sample = sorted((r for r in sample if r["n"]), key=lambda r: (r["lang"], r["h"]))
+    df = np.zeros(DIM)
+    for r in sample:
+        df[r["ids"]] += 1
+    names = sorted({r["lang"] for r in sample})
+    model = Model(names, np.zeros(0, int), np.zeros((0, DIM), np.float32), np.log((1 + len(sample)) / (1 + df)) + 0.1, np.zeros(32))
+    if not sample:
+        return model
+    kept, out = ([r for i, r in enumerate(sample) if (i % HELD_OUT == 0) == held] for held in (False, True))
+    by: dict[int, list[float]] = {}
+    centres, _ = _centres(kept or sample, model)
+    for r in out:
+        by.setdefault(_bucket(r["n"]), []).append(float((centres[:, r["ids"]] @ model.vector(r["ids"], r["counts"])).max()))
+    slack = lambda b: SLACK if 1 << b > SHORT else SHORT_SLACK
+    known = {b: float(np.quantile(v, REJECT_QUANTILE)) for b, v in by.items() if len(v) >= ENOUGH}
+    known = known or {b: float(np.quantile(np.concatenate(list(by.values())), REJECT_QUANTILE)) for b in by}  # few texts: all lengths as one
+    for b in range(32):  # the least of a length and its neighbours; one shorter than all has half the next
+        below = [known[x] for x in sorted(known) if x <= b][-2:]
+        above = [known[x] for x in sorted(known) if x >= b][:2]
+        model.least[b] = slack(b) * (min(below + above) if below else 0.5 * above[0] if above else 0.0)
+    model.centroids, model.language = _centres(sample, model)
+    return model
+
+
+def features(batches):
+    """lang, h, ids, counts, n of batches of lang, h, text."""
+    for batch in batches:
+        found = [gram_counts(t) for t in batch.column("text").to_pylist()]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("lang"), batch.column("h"), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.int64())],
+            names=["lang", "h", "ids", "counts", "n"],
+        )
+
+
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id") -> Model:
-    """Fits on a bounded hash sample (PER_LANGUAGE, SAMPLE) of the labelled rows with text.
+    """Fits on a bounded hash sample (PER_LANGUAGE, SAMPLE, LANGUAGES) of the labelled rows with text.
 
     Null texts and labels and texts without letters teach nothing; an empty table
     gives a model that answers `und`.
     """
     rows = labelled.where(F.col(text).isNotNull() & F.col(lang).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(key), F.col(text)).alias("h"))
-    # one row a language reaches the driver
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
     if not sizes:
-        return Model([], np.zeros(0, int), np.zeros((0, DIM), np.float32), np.zeros(DIM), np.zeros(32))
+        return fit_on([])
     each = max(1, min(PER_LANGUAGE, SAMPLE // len(sizes)))
-    share = F.pmod(F.col("h"), F.lit(1_000_000))
-    wanted = F.lit(False)
-    for name, n in sizes.items():
-        wanted = wanted | ((F.col("lang") == name) & (share < int(min(1.0, each / n) * 1_000_000) + 1))
+    shares = labelled.sparkSession.createDataFrame([(r["lang"], each / r["n"]) for r in sizes], "lang string, share double")
     small_batches(labelled.sparkSession)
+    wanted = rows.join(F.broadcast(shares), "lang").where(sampled(F.col("h"), F.col("share"))).select("lang", "h", "text").dropDuplicates(["lang", "h"])
+    found = wanted.mapInArrow(features, "lang string, h long, ids array<int>, counts array<long>, n long").where("n > 0")
+    # fitted in one task on the bounded sample: only the model comes to the driver
+    model = found.repartition(1).mapInArrow(_fitted, "names array<string>, language array<int>, centroids binary, idf binary, least binary").first()
+    if model is None:
+        return fit_on([])
+    centroids = np.frombuffer(model["centroids"], dtype=np.float32).reshape(-1, DIM)
+    return Model(list(model["names"]), np.array(model["language"], dtype=int), centroids, np.frombuffer(model["idf"]), np.frombuffer(model["least"]))
 
-    def features(batches):
-        for batch in batches:
-            found = [gram_counts(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("lang"), batch.column("h"), pa.array([x[0].astype(np.int32) for x in found], pa.list_(pa.int32())), pa.array([x[1] for x in found], pa.list_(pa.int64())), pa.array([x[2] for x in found], pa.int64())],
-                names=["lang", "h", "ids", "counts", "n"],
-            )
 
-    found = rows.where(wanted).mapInArrow(features, "lang string, h long, ids array<int>, counts array<long>, n long").where("n > 0").toArrow()
+def _fitted(batches):
     # arrays throughout: as Python objects the sample would take ten times the memory
     sample = []
-    for batch in found.to_batches():
+    for batch in batches:
         langs, hashes, letters = (batch.column(c).to_pylist() for c in ("lang", "h", "n"))
         ids, counts = batch.column("ids"), batch.column("counts")
         sample += [{"lang": lang, "h": h, "n": n, "ids": ids[i].values.to_numpy(), "counts": counts[i].values.to_numpy()} for i, (lang, h, n) in enumerate(zip(langs, hashes, letters, strict=True))]
-    sample.sort(key=lambda r: (r["lang"], r["h"]))
-    df = np.zeros(DIM)
-    for r in sample:
-        df[r["ids"]] += 1
-    names = sorted({r["lang"] for r in sample})
-    model = Model(names, np.zeros(0, int), np.zeros((0, DIM), np.float32), np.log((1 + len(sample)) / (1 + df)) + 0.1, np.zeros(32))
-    centres, of = [], []
-    for j, name in enumerate(names):
-        own = [r for r in sample if r["lang"] == name]
-        x = np.zeros((len(own), DIM), dtype=np.float32)
-        for i, r in enumerate(own):
-            x[i, r["ids"]] = model.vector(r["ids"], r["counts"])
-        c = _clusters(x, CENTROIDS)
-        centres.append(c)
-        of += [j] * len(c)
-    if centres:
-        model.centroids, model.language = np.concatenate(centres), np.array(of)
-        by: dict[int, list[float]] = {}
-        for r in sample:
-            best = float((model.centroids[:, r["ids"]] @ model.vector(r["ids"], r["counts"])).max())
-            by.setdefault(_bucket(r["n"]), []).append(best)
-        known = {b: SLACK * float(np.quantile(v, REJECT_QUANTILE)) for b, v in by.items() if len(v) >= ENOUGH}
-        for b in range(32):  # a length without enough samples takes the lower of its neighbours; one shorter than all, half the next
-            below = [known[x] for x in sorted(known) if x <= b][-1:]
-            above = [known[x] for x in sorted(known) if x >= b][:1]
-            model.least[b] = min(below + above) if below else 0.5 * above[0] if above else 0.0
-    return model
+    if sample:
+        model = fit_on(sample)
+        made = [[model.names], [model.language.tolist()], [model.centroids.astype(np.float32).tobytes()], [model.idf.tobytes()], [model.least.tobytes()]]
+        kinds = [pa.list_(pa.string()), pa.list_(pa.int32()), pa.binary(), pa.binary(), pa.binary()]
+        yield pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(made, kinds, strict=True)], names=["names", "language", "centroids", "idf", "least"])
 
 
 def predict(docs: DataFrame, model: Model, keep: list[Column], text: str = "text") -> DataFrame:

@@ -21,8 +21,9 @@ _QUERIES = {
 
 def _query(module: str, function: str, tables: tuple[str, ...]):
     def run(spark, sf_dir):
-        from ferrule.llm.common import compact, table
+        from ferrule.llm.common import compact, release, table
 
+        release(spark)  # what earlier queries held
         operator = getattr(import_module(f"ferrule.llm.{module}"), function)
         sources = [table(spark, sf_dir, t) for t in tables]
         return compact(operator(*sources), *sources)
