@@ -1,13 +1,14 @@
 """Groups of documents whose sets of word shingles have a Jaccard similarity of a bound or more.
 
-Texts with equal sets are one class. Classes are compared in two passes:
+Texts with equal sets are one class. Classes are compared in three passes:
 
 1. Candidates: classes whose SimHash fingerprints collide in a table of the covering
    family (operator 6), and every class with the first one of each of its prefix
    buckets. A prefix is the rarest shingles of a set, as many as two similar sets can't
    do without having one in common, so the buckets hold every similar pair, which no
    family of a few hundred masks does at a similarity of 0.8 (about a seventh of the bits differ).
-2. Pairs of a bucket that are still in different components, cut into blocks of rows.
+2. Members of a bucket outside its largest component with some of that, and some outside.
+3. Pairs of a bucket that are still in different components, cut into blocks of rows.
 
 Sizes and parity bitmaps rule out pairs that can't be similar; the shingle sets
 decide all others. A set travels once to each class it is compared with first.
@@ -15,6 +16,8 @@ decide all others. A set travels once to each class it is compared with first.
 
 from __future__ import annotations
 
+import gc
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -27,13 +30,16 @@ from ferrule.llm.simhash import SEED, covering_edges, fingerprint, shingle_hashe
 
 #: Words a shingle and least Jaccard similarity of the shingle sets.
 SHINGLE, SIMILARITY = 5, 0.8
-#: 64-bit words of a set's parity bitmap, and texts of the sample by which shingles are ordered (any order is exact).
-PARITY, SAMPLED, FREQUENT = 8, 4000, 3
+#: Bits of a set's parity bitmap for each of its shingles, rounded up to a power of two; in buckets it is folded COARSE times.
+PARITY, COARSE = 2, 1
+#: Texts of the sample by which shingles are ordered (any order is exact), and in how many of them a shingle is frequent.
+SAMPLED, FREQUENT = 4000, 3
 #: Sets to be compared up to which they are broadcast to the texts; beyond, both sides are shuffled.
 BROADCAST = 200_000
+#: Members of a bucket's largest component that each other member is compared with before all pairs are.
+LEADERS = 8
 #: Sets compared with one copy of a leader's; outsiders and members of a bucket in one block.
 FOLLOWERS, OUTSIDERS, MEMBERS = 512, 256, 8192
-BITS = [f"b{k}" for k in range(PARITY)]
 
 
 def shingle_set(text: str | None, size: int = SHINGLE) -> np.ndarray:
@@ -68,13 +74,26 @@ def prefix(tokens: np.ndarray, frequent: tuple[np.ndarray, np.ndarray], similari
 
 
 def parity(tokens: np.ndarray) -> np.ndarray:
-    """A bitmap of 64 x PARITY bits: each is the parity of the number of shingles that fall on it."""
-    bits = np.bincount((tokens % np.uint64(64 * PARITY)).astype(np.int64), minlength=64 * PARITY) & 1
+    """A bitmap of 128 bits or more: each is the parity of the number of shingles that fall on it."""
+    size = max(128, 1 << (PARITY * len(tokens) - 1).bit_length() if len(tokens) else 0)
+    bits = np.bincount((tokens % np.uint64(size)).astype(np.int64), minlength=size) & 1
     return np.packbits(bits.astype(np.uint8), bitorder="little").view(np.int64)
 
 
+def _fold(bitmap: np.ndarray) -> np.ndarray:
+    """The bitmap (or rows of them) of half the size."""
+    half = bitmap.shape[-1] // 2
+    return bitmap[..., :half] ^ bitmap[..., half:]
+
+
+def _folded(bits: Column) -> Column:
+    """`_fold` as an expression; a bitmap of one word stays as it is."""
+    half = F.floor(F.size(bits) / 2).cast("int")
+    return F.when(half > 0, F.transform(F.sequence(F.lit(0), F.greatest(half - 1, F.lit(0))), lambda i: F.get(bits, i).bitwiseXOR(F.get(bits, i + half)))).otherwise(bits)
+
+
 def _prints(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
-    """doc, tie, class (equal sets), n, f0 (fingerprint), b0.. (parity bitmap) and prefix of every row."""
+    """doc, tie, class (equal sets), n, f0 (fingerprint), bits (parity bitmap) and prefix of every row."""
     small_batches(keyed.sparkSession)
     frequent = keyed.sparkSession.sparkContext.broadcast(_frequent(keyed, size))
 
@@ -85,14 +104,13 @@ def _prints(keyed: DataFrame, size: int, similarity: float) -> DataFrame:
                 hashes = np.concatenate([np.zeros(0, dtype=np.uint64), *shingle_hashes(text, size)])
                 f0.append(signed(fingerprint([hashes])))
                 sets.append(np.unique(hashes))
-            maps = np.stack([parity(s) for s in sets]) if sets else np.zeros((0, PARITY), dtype=np.int64)
             made = [pa.array([signed(xxhash.xxh64_intdigest(s.tobytes(), SEED)) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array(f0, pa.int64())]
-            made += [pa.array(np.ascontiguousarray(maps[:, k])) for k in range(PARITY)]
+            made.append(pa.array([parity(s) for s in sets], pa.list_(pa.int64())))
             # half of a hash will do for a place to meet
             made.append(pa.array([prefix(s, frequent.value, similarity).astype(np.uint32).view(np.int32) for s in sets], pa.list_(pa.int32())))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "tie", "class", "n", "f0", *BITS, "prefix"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], *made], names=["doc", "tie", "class", "n", "f0", "bits", "prefix"])
 
-    return keyed.select("doc", "tie", "text").mapInArrow(run, f"doc long, tie long, class long, n int, f0 long, {', '.join(f'{b} long' for b in BITS)}, prefix array<int>")
+    return keyed.select("doc", "tie", "text").mapInArrow(run, "doc long, tie long, class long, n int, f0 long, bits array<long>, prefix array<int>")
 
 
 def _candidates(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -111,61 +129,95 @@ def _possible(pairs: DataFrame, classes: DataFrame, similarity: float) -> DataFr
 
     Two sets differ in at least as many shingles as their bitmaps in bits, so none that is similar fails.
     """
-    side = lambda s: classes.select(F.col("class").alias(s), *(F.col(c).alias(f"{s}_{c}") for c in ("n", *BITS)))
+    side = lambda s: classes.select(F.col("class").alias(s), F.col("n").alias(f"{s}_n"), F.col("bits").alias(f"{s}_bits"))
     least, most = F.least("a_n", "b_n"), F.greatest("a_n", "b_n")
-    differing: Column = F.lit(0)
-    for b in BITS:
-        differing = differing + F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}")))
-    can = (least >= similarity * most - 1e-6) & (differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6)
-    return pairs.join(side("a"), "a").join(side("b"), "b").where(can).select("a", "b")
 
+    def to(bits: str, words: Column) -> Column:  # sizes that may be similar differ by a factor of two at most
+        return F.when(F.size(bits) > words, _folded(F.col(bits))).otherwise(F.col(bits))
 
-def _may(block: np.ndarray, row: np.ndarray, similarity: float) -> np.ndarray:
-    """`_possible` for the rows of a block and one row; columns are n and the bitmap."""
-    differing = np.bitwise_count((block[:, 1:] ^ row[1:]).view(np.uint64)).sum(axis=1, dtype=np.int64)
-    least, most = np.minimum(block[:, 0], row[0]), np.maximum(block[:, 0], row[0])
-    return (least >= similarity * most - 1e-6) & (differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6)
+    words = F.least(F.size("a_bits"), F.size("b_bits"))
+    differing = F.aggregate(F.zip_with(to("a_bits", words), to("b_bits", words), lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
+    sized = pairs.join(side("a"), "a").join(side("b"), "b").where(least >= similarity * most - 1e-6)
+    return sized.where(differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6).select("a", "b")
 
 
-def _apart(buckets: DataFrame, roots: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
-    """(a, b), a < b: the possible pairs of each bucket whose components differ.
+class _Block:
+    """Rows of a bucket with their bitmaps, by the bitmaps' size."""
+
+    def __init__(self, rows: np.ndarray, bitmaps: list[np.ndarray]):
+        self.rows = rows
+        words = np.fromiter(map(len, bitmaps), dtype=np.int64, count=len(bitmaps))
+        self.by = {int(w): (at := np.flatnonzero(words == w), np.stack([bitmaps[i] for i in at])) for w in np.unique(words)}
+
+    def may(self, row: np.ndarray, bitmap: np.ndarray, wanted: np.ndarray, similarity: float):
+        """The rows among the wanted for which `_possible` holds; the last column is the set's size."""
+        for words, (at, bits) in self.by.items():
+            at, bits = at[wanted[at]], bits[wanted[at]]
+            if not len(at) or not words <= 2 * len(bitmap) <= 4 * words:
+                continue
+            theirs = bits if words <= len(bitmap) else _fold(bits)
+            own = bitmap if len(bitmap) <= words else _fold(bitmap)
+            differing = np.bitwise_count((theirs ^ own).view(np.uint64)).sum(axis=1, dtype=np.int64)
+            least, most = np.minimum(self.rows[at, -1], row[-1]), np.maximum(self.rows[at, -1], row[-1])
+            yield self.rows[at[(least >= similarity * most - 1e-6) & (differing * (1 + similarity) <= (least + most) * (1 - similarity) + 1e-6)]]
+
+
+def _rooted(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, class, root) of all members of buckets, and (key, largest, n, most) of the buckets whose members aren't all in one component."""
+    rooted = _small(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")))
+    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
+    return rooted, held(per.groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
+
+
+def _other_leaders(rooted: DataFrame, several: DataFrame) -> DataFrame:
+    """(a, b), a < b: each member outside its bucket's largest component with LEADERS members in it and some outside, others in each bucket."""
+    members = rooted.join(several.select("key", "largest"), "key").withColumn("outside", F.col("root") != F.col("largest"))
+    slot = F.pmod(F.xxhash64("class", "key"), F.when(F.col("outside"), LEADERS // 4).otherwise(LEADERS)).alias("slot")
+    leads = _small(members.groupBy("key", "outside", slot).agg(F.min_by("class", F.xxhash64("class", "key")).alias("lead"))).drop("outside", "slot")
+    met = members.where("outside").join(leads, "key").where("lead <> class")
+    return met.select(F.least("lead", "class").alias("a"), F.greatest("lead", "class").alias("b")).distinct()
+
+
+def _apart(rooted: DataFrame, several: DataFrame, classes: DataFrame, similarity: float) -> DataFrame:
+    """(a, b), a < b: the possible pairs of each bucket whose components differ, by coarse bitmaps.
 
     One of the two is outside the bucket's largest component. Outsiders and members
     are dealt into blocks, and every block of outsiders meets every block of members
     in a task of its own, so a bucket of any size is spread.
     """
-    rooted = held(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")))
-    per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    several = held(per.groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
     blocks = lambda n, size: F.ceil(n / size).cast("int")
     dealt = rooted.join(several, "key").withColumn("outer", blocks(F.col("n") - F.col("most"), OUTSIDERS)).withColumn("inner", blocks(F.col("n"), MEMBERS))
-    dealt = dealt.join(classes.select("class", F.col("n").alias("size"), *BITS), "class")
+    coarse = F.col("bits")
+    for _ in range(COARSE):
+        coarse = _folded(coarse)
+    dealt = dealt.join(classes.select("class", F.col("n").cast("long").alias("size"), coarse.alias("bits")), "class")
     own = lambda n: F.pmod(F.xxhash64("class"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    names = ["key", "o", "i", "kind", "class", "root", "size", *BITS]
+    names = ["key", "o", "i", "kind", "class", "root", "size"]
     outside = dealt.where("root <> largest").withColumn("o", own("outer")).withColumn("kind", F.lit(0)).select("*", every("inner").alias("i"))
     members = dealt.withColumn("i", own("inner")).withColumn("kind", F.when(F.col("root") == F.col("largest"), 1).otherwise(2)).select("*", every("outer").alias("o"))
-    both = outside.select(names).unionByName(members.select(names)).repartition("key", "o", "i").sortWithinPartitions("key", "o", "i", "kind", "class")
+    both = outside.select(*names, "bits").unionByName(members.select(*names, "bits")).repartition("key", "o", "i").sortWithinPartitions("key", "o", "i", "kind", "class")
 
     def run(batches):
         block, kept = None, []
         for batch in batches:
             rows = np.stack([batch.column(n).to_numpy().astype(np.int64) for n in names], axis=1)
+            bitmaps = [x.values.to_numpy() for x in batch.column("bits")]
             starts = np.concatenate([[0], np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, [len(rows)]])
             for start, end in zip(starts[:-1].tolist(), starts[1:].tolist(), strict=True):
-                part = rows[start:end]
-                if end > start and (block is None or (part[0, :3] != block).any()):
-                    block, kept = part[0, :3].copy(), []
-                kept += [r for r in part[part[:, 3] == 0].copy()]
-                rest = part[part[:, 3] > 0]
-                for out in kept if len(rest) else []:
+                if end > start and (block is None or (rows[start, :3] != block).any()):
+                    block, kept = rows[start, :3].copy(), []
+                first = start + int((rows[start:end, 3] == 0).sum())
+                kept += [(rows[i].copy(), bitmaps[i].copy()) for i in range(start, first)]
+                rest = _Block(rows[first:end], bitmaps[first:end])
+                for row, bitmap in kept if first < end else []:
                     # of two outsiders the smaller one has the pair
-                    others = rest[(rest[:, 5] != out[5]) & ((rest[:, 3] == 1) | (rest[:, 4] > out[4]))]
-                    others = others[_may(others[:, 6:], out[6:], similarity), 4]
-                    if len(others):
-                        yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others, out[4])), pa.array(np.maximum(others, out[4]))], names=["a", "b"])
+                    wanted = (rest.rows[:, 5] != row[5]) & ((rest.rows[:, 3] == 1) | (rest.rows[:, 4] > row[4]))
+                    for others in rest.may(row, bitmap, wanted, similarity):
+                        if len(others):
+                            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others[:, 4], row[4])), pa.array(np.maximum(others[:, 4], row[4]))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long").distinct()
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -216,7 +268,10 @@ def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int,
 def _small(df: DataFrame) -> DataFrame:
     """The rows cut from the shuffles they came through, whose files can go then."""
     out = cut(df)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    jvm = df.sparkSession.sparkContext._jvm
+    del df  # the plan that ran holds its shuffles
+    gc.collect()
+    jvm.System.gc()
     return out
 
 
@@ -230,23 +285,34 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """
     keyed = docs.select(order_id(key).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
     prints = held(_prints(keyed, shingle, similarity))
-    once = [F.first(c).alias(c) for c in ("n", "f0", *BITS, "prefix")]
-    classes = held(prints.groupBy("class").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "tie")).alias("one"), *once))
-    rows = classes.select(F.explode("prefix").alias("key"), "class")
+    once = [F.first(c).alias(c) for c in ("n", "f0", "bits", "prefix")]
+    classes = _small(prints.groupBy("class").agg(F.min("doc").alias("least"), F.min(F.struct("doc", "tie")).alias("one"), *once))
+    ids = _small(prints.select("doc", "tie", "class"))
+    prints.unpersist()
+    # one exchange serves the first class of each bucket and the join with it; a bucket's rows just pass through
+    rows = classes.select(F.explode("prefix").alias("key"), "class").repartition("key")
     lead = rows.groupBy("key").agg(F.min("class").alias("lead"), F.max("class").alias("last")).where("lead < last").select("key", "lead")
-    shared = _small(rows.join(_small(lead), "key"))
+    shared = _small(rows.join(lead, "key"))
     pairs = _small(_possible(_candidates(shared, classes), classes, similarity))
     links = _similar(pairs, keyed, classes, shingle, similarity)
     roots = held(components(links))
     # buckets of the same members are one
     members = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
-    buckets = held(shared.join(_small(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")), "key").select("key", "class"))
-    more = _small(_apart(buckets, roots, classes, similarity).join(pairs, ["a", "b"], "left_anti"))
-    roots = held(components(links.unionByName(_similar(more, keyed, classes, shingle, similarity))))
+    buckets = _small(shared.join(_small(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")), "key").select("key", "class"))
+
+    def add(found: DataFrame) -> None:
+        nonlocal pairs, links, roots
+        fresh = _small(_possible(found.join(pairs, ["a", "b"], "left_anti"), classes, similarity))
+        pairs, links = pairs.unionByName(fresh), links.unionByName(_similar(fresh, keyed, classes, shingle, similarity))
+        roots = held(components(links))
+
+    # other leaders join most of what is similar to a member but not to the first one, at a pair a member
+    add(_other_leaders(*_rooted(buckets, roots)))
+    add(_apart(*_rooted(buckets, roots), classes, similarity))
     rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
     least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
     named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))
-    return prints.select("doc", "tie", "class").join(named, "class")
+    return ids.join(named, "class")
 
 
 def representatives(docs: DataFrame, **parameters) -> DataFrame:
