@@ -54,12 +54,22 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return compact(joined.select(*(c for c in docs.columns if c not in new), *(F.col(f"__{n}").alias(n) for n in new)), docs)
 
 
+def _stage(function):
+    """A stage lets go of what the one before held for its rows, which are written by then."""
+
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        release(spark)
+        return function(spark, docs, sf_dir)
+
+    return run
+
+
 STAGES = [
-    ("language_id", language_id),
-    ("near_dedup", near_dedup),
-    ("decontamination", decontamination_),
-    ("secret_scan", secret_scan),
-    ("source_mixing", source_mixing),
+    ("language_id", _stage(language_id)),
+    ("near_dedup", _stage(near_dedup)),
+    ("decontamination", _stage(decontamination_)),
+    ("secret_scan", _stage(secret_scan)),
+    ("source_mixing", _stage(source_mixing)),
 ]
 #: Language models, sketches and redaction have no SQL form; the tests check the stages one by one.
 ORACLE_SQL = None
@@ -69,7 +79,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), name)
-        release(spark)
     return STAGES[-1][1](spark, docs, sf_dir)
 
 
