@@ -4,10 +4,12 @@ import os
 import re
 
 import pytest
+import xxhash
 
 import corpus_pipeline as P
 from ferrule.llm.common import written
 from tests.llm import docs as D
+from tests.llm.test_documents import plain_share
 
 DIR = "/root/testdata/sf0.001"
 
@@ -33,6 +35,36 @@ def test_stages_keep_columns_and_take_effect(spark, tables):
     assert set(columns) < set(mixed.columns) and all(r.mix_taken > 0 for r in mixed.collect())
 
 
+def plain(name, docs, bench):
+    """What a stage keeps, by rules of its own: (doc_id, text) of the rows, or None where it has none here."""
+    if name == "near_dedup":
+        of = groups([t for _, t in docs])
+        order = lambda r: (r[0] is None, r[0] or 0, xxhash.xxh64_intdigest((r[1] or "").encode(), 42))
+        return {g: min((order(r)[:2] for r, o in zip(docs, of, strict=True) if o == g)) for g in set(of)}.values()
+    if name == "decontamination":
+        return [(i is None, i or 0) for i, t in docs if plain_share(t, bench) < 0.5]
+    return [(i is None, i or 0) for i, t in docs]
+
+
+def test_every_stage_equals_brute_force_on_its_own_input(spark, tables):
+    bench = spark.read.parquet(f"{tables}/benchmark.parquet").first().text
+    docs = spark.read.parquet(f"{tables}/documents.parquet")
+    for name, stage in P.STAGES[1:4]:
+        before = [(r.doc_id, r.text) for r in docs.collect()]
+        docs = written(stage(spark, docs, tables), name)
+        after = [(r.doc_id, r.text) for r in docs.collect()]
+        assert sorted((i is None, i or 0) for i, _ in after) == sorted(plain(name, before, bench)), name
+        if name == "secret_scan":
+            was = {(i, t) for i, t in before}
+            assert all((i, t) in was or "[SECRET]" in t for i, t in after)
+
+
+def test_columns_called_like_the_mixs_give_way(spark, tables):
+    docs = D.simple(spark, ["a b c", "d e"]).withColumnRenamed("h", "mix_size").withColumnRenamed("k", "row").withColumnRenamed("run", "i")
+    got = P.source_mixing(spark, docs, tables)
+    assert got.columns.count("mix_size") == 1 and sorted(r.mix_size for r in got.collect()) == [2, 3] and got.first()["row"] == "c"
+
+
 def groups(texts):
     sets = []
     for t in texts:
