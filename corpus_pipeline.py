@@ -1,4 +1,9 @@
-"""A training-corpus pipeline of five stages over `documents`, each on all the one before kept."""
+"""A training-corpus pipeline of five stages over `documents`, each on all the one before kept.
+
+For all stages: a null id counts as the greatest, a null text as empty; texts are
+taken whole, however long; an empty table gives an empty table; columns of any name pass
+through, whatever the operators call theirs. The stages' docstrings say what else is odd.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +16,11 @@ from ferrule.llm.common import compact, held, order_id, packed, release, table,
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the documents whose language is recognised (operator 1); those it rejects go."""
+    """Keeps the documents whose language is recognised (operator 1); those it rejects go.
+
+    A text without a letter, or null, is rejected; rows alike are judged alike. A table
+    without labels teaches nothing, so that everything goes.
+    """
     return compact(langid.drop_rejected(docs, langid.fit(docs)), docs)
 
 
@@ -31,27 +40,39 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def decontamination_(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents that hold benchmark items (operator 5)."""
+    """Drops the documents that hold benchmark items (operator 5).
+
+    Null and empty texts hold none, and stay; rows alike go together; an empty benchmark drops nothing.
+    """
     return compact(decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark")), docs)
 
 
 def secret_scan(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Replaces secrets in the texts (operator 8); n_chars follows the text."""
+    """Replaces secrets in the texts (operator 8); n_chars follows the text.
+
+    All rows stay, nulls and repeated ones too; a null text has a null n_chars.
+    """
     clean = secrets.redact(docs)
     return compact(clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else clean, docs)
 
 
 def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents that the mix takes (operator 3), with the size, target and words taken of each."""
+    """The documents that the mix takes (operator 3), with the size, target and words taken of each.
+
+    Null sources are one source; documents without words, or beyond their source's budget,
+    aren't taken. Of rows alike in id, text and source the first by a hash of the whole row
+    come first. Columns of the table that are called like the new ones give way to them.
+    """
     mixed = held(mixing.mix(docs).where("taken > 0"))
-    # rows alike in id, text and source are interchangeable: they meet by number
-    number = F.row_number().over(W.partitionBy("__k", "__t", "__s", "__n").orderBy("__k"))
-    keys = lambda id_, tie, source: {"__k": F.coalesce(id_.cast("string"), F.lit("")), "__t": tie, "__s": F.coalesce(source, F.lit("")), "__n": source.isNull()}
-    left = docs.withColumns(keys(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.col("source"))).withColumn("__i", number)
+    keys = ["k", "t", "s", "n"]
+    of = lambda id_, tie, source: {"k": F.coalesce(id_.cast("string"), F.lit("")), "t": tie, "s": F.coalesce(source, F.lit("")), "n": source.isNull()}
+    left = packed(docs, **of(F.col("doc_id"), F.md5(F.coalesce("text", F.lit(""))), F.col("source")))
+    left = left.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy(F.xxhash64("row"))))
     new = {"mix_size": "size", "mix_source_size": "source_size", "mix_target": "target", "mix_taken": "taken"}
-    right = mixed.select(*(F.col(c).alias(f"__{n}") for n, c in new.items()), *(c.alias(n) for n, c in keys(F.col("doc_id"), F.col("tie"), F.col("source")).items())).withColumn("__i", number)
-    joined = left.join(right, ["__k", "__t", "__s", "__n", "__i"])
-    return compact(joined.select(*(c for c in docs.columns if c not in new), *(F.col(f"__{n}").alias(n) for n in new)), docs)
+    right = mixed.select(*(F.col(c).alias(n) for n, c in new.items()), *(c.alias(n) for n, c in of(F.col("doc_id"), F.col("tie"), F.col("source")).items()))
+    right = right.withColumn("i", F.row_number().over(W.partitionBy(*keys).orderBy(F.desc("mix_taken"))))
+    joined = left.join(right, [*keys, "i"])
+    return compact(joined.select(*(F.col("row").getField(c).alias(c) for c in docs.columns if c not in new), *new), docs)
 
 
 def _stage(function):
