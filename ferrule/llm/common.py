@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import tempfile
 import uuid
@@ -91,6 +92,8 @@ def release(spark: SparkSession) -> None:
     """Lets go of all held results; for when what was made of them is written. What still needs one computes it anew."""
     for df in _held.pop(spark.sparkContext.applicationId, []):
         df.unpersist()
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # plans hold shuffles and checkpoints until they are collected
 
 
 def packed(docs: DataFrame, **more: Column) -> DataFrame:

@@ -11,10 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import cut, held
+from ferrule.llm.common import cut
 
-#: Edges a partition of the checkpoints between rounds.
-EDGES = 250_000
+#: Edges a partition of the checkpoints between rounds; up to so many, a node's least neighbour is found again instead of checkpointed.
+EDGES, FEW = 250_000, 1_000_000
 
 
 def _cut(edges: DataFrame, n: int) -> DataFrame:
@@ -22,23 +22,28 @@ def _cut(edges: DataFrame, n: int) -> DataFrame:
     return cut(edges.coalesce(n // EDGES + 1))
 
 
+def _split(least: DataFrame, n: int) -> DataFrame:
+    """One side of a join on a node, which has plain exchanges on both sides where there are many edges."""
+    return _cut(least, n) if n > FEW else least
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) of every node of edges (a, b): root is the least node reachable.
 
     Loops and repeated edges change nothing; no edges give no rows.
     """
     # every edge points from the larger to the smaller end
-    stars = held(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     n = stars.count()
-    stars = _cut(stars, n)
+    stars = stars.coalesce(n // EDGES + 1)
     before = None
     while True:
         # large star: larger neighbours of a node move to the least of all its neighbours
         both = stars.unionByName(stars.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = _cut(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
+        least = _split(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), n)
         large = _cut(both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), n)
         # small star: smaller neighbours of a node, and the node, move to the least of them
-        least = _cut(large.groupBy("u").agg(F.min("v").alias("m")), n)
+        least = _split(large.groupBy("u").agg(F.min("v").alias("m")), n)
         small = large.join(least, "u")
         small = small.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(small.select("u", F.col("m").alias("v"))).distinct()
         stars = _cut(small, n)

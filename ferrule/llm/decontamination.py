@@ -140,8 +140,6 @@ def met_documents(keyed: DataFrame, grams: DataFrame) -> DataFrame:
     placed = F.flatten(F.array(*(_placed(F.col("hashes"), w) for w in sorted(widths)))) if widths else F.array().cast("array<struct<w:bigint,width:int,at:int>>")
     rows = keyed.select("doc", "tie", _hashed(F.col("text")).alias("hashes")).select("doc", "tie", F.explode(placed).alias("x")).select("doc", "tie", F.col("x.w").alias("g"), "x.width", "x.at")
     met = rows.join(near(grams), ["g", "width"])
-    if met.isEmpty():
-        return met.select("doc", "tie")
     # places in order; a run of n grams from the i-th place on ends n - 1 places and n - 1 tokens later
     places = F.array_sort(F.collect_set(F.when(F.col("width") == GRAM, F.struct("at", "run"))))
     runs = F.exists(F.transform("places", lambda p, i: F.get("places", i + p["run"] - 1)["at"] == p["at"] + p["run"] - 1), lambda x: F.coalesce(x, F.lit(False)))

@@ -217,7 +217,7 @@ def _apart(rooted: DataFrame, several: DataFrame, classes: DataFrame, similarity
                         if len(others):
                             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(others[:, 4], row[4])), pa.array(np.maximum(others[:, 4], row[4]))], names=["a", "b"])
 
-    return both.mapInArrow(run, "a long, b long")
+    return both.mapInArrow(run, "a long, b long").distinct()
 
 
 def _similar(pairs: DataFrame, keyed: DataFrame, classes: DataFrame, size: int, similarity: float) -> DataFrame:
@@ -310,7 +310,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     add(_other_leaders(*_rooted(buckets, roots)))
     add(_apart(*_rooted(buckets, roots), classes, similarity))
     rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class"))
+    least = held(rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class")))
     named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))
     return ids.join(named, "class")
 

@@ -235,7 +235,7 @@ def simhash_near_dedup(docs: DataFrame) -> DataFrame:
     prints = held(fingerprints(docs))
     classes = prints.groupBy("f0").agg(F.min(order_id()).alias("least"))
     rooted = held(classes.join(held(near_classes(prints)), "f0", "left").select("f0", "least", F.coalesce("root", "f0").alias("root")))
-    named = rooted.join(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "root").select("f0", "component_id")
+    named = rooted.join(held(rooted.groupBy("root").agg(F.min("least").alias("component_id"))), "root").select("f0", "component_id")
     out = prints.join(held(named), "f0")
     component = F.when((F.col("component_id") == F.lit((1 << 63) - 1)) & F.col("doc_id").isNull(), F.lit(None).cast("long")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.lpad(F.lower(F.hex("f0")), 16, "0").alias("fingerprint"), component.alias("component_id"))
