@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ferrule.llm.common import LAST_ID, held, let, order_id, packed
+from ferrule.llm.common import LAST_ID, cut, held, let, order_id, packed
 
 #: Template tokens a window; items of LEAST tokens or fewer (two at least) are one window, matched as a whole.
 WINDOW, LEAST = 13, 8
@@ -149,11 +149,12 @@ def met_documents(keyed: DataFrame, grams: DataFrame) -> DataFrame:
 
 def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc, tie, item_id, n_hits, windows, share): consistent window hits of each document and item, and the share of its tokens they cover."""
-    items = held(item_windows(benchmark))
+    # checkpoints, as each plan would show those of all results held before it, again and again
+    items = cut(item_windows(benchmark))
     widths = [r["width"] for r in items.select("width").distinct().collect()]  # those of SHORTER, WINDOW and LEAST - 1 at most
     near = F.broadcast if items.count() <= BROADCAST else (lambda x: x)
     keyed = docs.select(order_id(key).alias("doc"), F.xxhash64(F.col(text)).alias("tie"), F.col(text).alias("text"))
-    documents = held(met_documents(keyed, held(item_grams(benchmark, items))))
+    documents = cut(met_documents(keyed, cut(item_grams(benchmark, items))))
     few = F.broadcast if documents.count() <= BROADCAST else (lambda x: x)
     keyed = held(keyed.join(few(documents), ["doc", "tie"], "left_semi").dropDuplicates(["doc", "tie"]))
     windows = F.flatten(F.array(*(_placed(F.col("hashes"), w) for w in sorted(widths)))) if widths else F.array().cast("array<struct<w:bigint,width:int,at:int>>")
@@ -182,7 +183,7 @@ def hits(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows that no benchmark item contaminates, with all their columns."""
-    found = held(hits(docs, benchmark).where(F.col("share") >= SHARE).select("doc", "tie").distinct())
+    found = cut(hits(docs, benchmark).where(F.col("share") >= SHARE).select("doc", "tie").distinct())
     side = F.broadcast if found.count() <= BROADCAST else (lambda x: x)
     return packed(docs, doc=order_id(), tie=F.xxhash64("text")).join(side(found), ["doc", "tie"], "left_anti").select("row.*")
 

@@ -17,6 +17,7 @@ decide all others. A set travels once to each class it is compared with first.
 from __future__ import annotations
 
 import gc
+from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
@@ -166,7 +167,7 @@ def _rooted(buckets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]
     """(key, class, root) of all members of buckets, and (key, largest, n, most) of the buckets whose members aren't all in one component."""
     rooted = _small(buckets.join(roots.withColumnRenamed("node", "class"), "class", "left").select("key", "class", F.coalesce("root", "class").alias("root")))
     per = rooted.groupBy("key", "root").agg(F.count("*").alias("n"))
-    return rooted, held(per.groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
+    return rooted, _small(per.groupBy("key").agg(F.max_by("root", "n").alias("largest"), F.sum("n").alias("n"), F.max("n").alias("most")).where("most < n"))
 
 
 def _other_leaders(rooted: DataFrame, several: DataFrame) -> DataFrame:
@@ -300,18 +301,27 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     members = shared.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor("class").alias("x"), F.bit_xor(F.xxhash64("class")).alias("y"))
     buckets = _small(shared.join(_small(members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key")), "key").select("key", "class"))
 
-    def add(found: DataFrame) -> None:
+    def add(found: Callable[[DataFrame, DataFrame], DataFrame]) -> None:
         nonlocal pairs, links, roots
-        fresh = _small(_possible(found.join(pairs, ["a", "b"], "left_anti"), classes, similarity))
-        pairs, links = pairs.unionByName(fresh), links.unionByName(_similar(fresh, keyed, classes, shingle, similarity))
-        roots = held(components(links))
+        rooted, several = _rooted(buckets, roots)
+        if several.isEmpty():
+            return
+        fresh = _small(found(rooted, several).join(pairs, ["a", "b"], "left_anti"))
+        fresh = _small(_possible(fresh, classes, similarity))
+        if fresh.isEmpty():
+            return
+        more = _similar(fresh, keyed, classes, shingle, similarity)
+        pairs = pairs.unionByName(fresh)
+        if not more.isEmpty():
+            links = links.unionByName(more)
+            roots = held(components(links))
 
     # other leaders join most of what is similar to a member but not to the first one, at a pair a member
-    add(_other_leaders(*_rooted(buckets, roots)))
-    add(_apart(*_rooted(buckets, roots), classes, similarity))
-    rooted = held(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
-    least = held(rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class")))
-    named = held(rooted.join(least, "root").select("class", "group_doc", "group_class"))
+    add(_other_leaders)
+    add(lambda rooted, several: _apart(rooted, several, classes, similarity))
+    rooted = _small(classes.join(roots.withColumnRenamed("node", "class"), "class", "left").select("class", "least", F.coalesce("root", "class").alias("root")))
+    least = _small(rooted.groupBy("root").agg(F.min("least").alias("group_doc"), F.min_by("class", F.struct("least", "class")).alias("group_class")))
+    named = _small(rooted.join(least, "root").select("class", "group_doc", "group_class"))
     return ids.join(named, "class")
 
 
@@ -319,4 +329,4 @@ def representatives(docs: DataFrame, **parameters) -> DataFrame:
     """(doc, tie, times) of the one document that stays of each group: the smallest id's, and of its texts the first by tie; times it occurs."""
     groups = near_duplicates(docs, **parameters).where((F.col("doc") == F.col("group_doc")) & (F.col("class") == F.col("group_class")))
     of = groups.groupBy("doc", "class", "tie").agg(F.count("*").alias("times"))
-    return held(of.groupBy("doc", "class").agg(F.min(F.struct("tie", "times")).alias("x")).select("doc", "x.tie", "x.times"))
+    return _small(of.groupBy("doc", "class").agg(F.min(F.struct("tie", "times")).alias("x")).select("doc", "x.tie", "x.times"))

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ferrule.llm.common import held, order_id, small_batches
-from ferrule.llm.components import components
+from ferrule.llm.components import Forest, components
 from ferrule.llm.substring_dedup import words_of
 
 #: The contract's radius over 64 bits, shingle and seed.
@@ -108,24 +108,6 @@ def fingerprints(docs: DataFrame, text: str = "text", key: str = "doc_id", size:
     return docs.select(F.col(key).cast("long").alias(key), F.col(text).alias("text")).mapInArrow(run, f"`{key}` long, f0 long")
 
 
-class Forest:
-    """Union-find over positions; keeps the edges that joined something."""
-
-    def __init__(self, n: int):
-        self.up, self.edges = list(range(n)), []
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = x = self.up[self.up[x]]
-        return x
-
-    def join(self, x: int, y: int) -> None:
-        a, b = self.root(x), self.root(y)
-        if a != b:
-            self.up[max(a, b)] = min(a, b)
-            self.edges.append((x, y))
-
-
 def exact_links(values: np.ndarray, free: int, radius: int, forest: Forest, at: np.ndarray) -> None:
     """Joins all positions `at` whose values differ in at most `radius` of the `free` bits, losing none."""
     bits = int(free).bit_count()

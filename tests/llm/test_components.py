@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ferrule.llm import common
+from ferrule.llm import components as C
 from ferrule.llm.components import components
 
 
@@ -37,6 +38,27 @@ def test_components_of_random_graphs(spark):
     assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == roots(edges)
 
 
+@pytest.mark.parametrize("few", [0, 1_000_000])
+def test_rounds_of_many_edges(spark, monkeypatch, few):
+    monkeypatch.setattr(C, "EDGES", 3)
+    monkeypatch.setattr(C, "FEW", few)
+    rnd = random.Random(5)
+    edges = [(i, i + 1) for i in range(12)] + [(rnd.randint(100, 140), rnd.randint(100, 140)) for _ in range(25)]
+    assert {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()} == roots(edges)
+
+
+def test_few_edges_take_no_rounds(spark):
+    """The driver keeps a record of each job: rounds of small ones took its memory."""
+    edges = [(i, i + 1) for i in range(40)]
+    spark.sparkContext.setJobGroup("few edges", "")
+    try:
+        got = components(spark.createDataFrame(edges, "a long, b long")).collect()
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert {r.node: r.root for r in got} == roots(edges)
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("few edges")) <= 8
+
+
 def test_compaction_follows_the_size_of_the_sources(spark, tmp_path, monkeypatch):
     spark.range(2000).repartition(40).withColumn("x", F.sha2(F.col("id").cast("string"), 256)).write.parquet(str(tmp_path / "t"))
     table = spark.read.parquet(str(tmp_path / "t"))

@@ -35,6 +35,13 @@ def test_stages_keep_columns_and_take_effect(spark, tables):
     assert set(columns) < set(mixed.columns) and all(r.mix_taken > 0 for r in mixed.collect())
 
 
+@pytest.mark.parametrize("stage", [P.near_dedup, P.decontamination_])
+def test_plans_do_not_show_all_that_was_held_before(spark, tables, stage):
+    """Spark's record of a plan is kept on the driver: the nested ones of held results took its memory."""
+    plan = stage(spark, spark.read.parquet(f"{tables}/documents.parquet"), tables)._jdf.queryExecution().toString()
+    assert "InMemoryRelation" not in plan and len(plan) < 60_000
+
+
 def plain(name, docs, bench):
     """What a stage keeps, by rules of its own: (doc_id, text) of the rows, or None where it has none here."""
     if name == "near_dedup":
