@@ -124,10 +124,10 @@ int **none_@(void) { return 0; }
 
 
 def c_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """`files`: one generated C file a supplier."""
+    """`files`: one generated C file a supplier. The table is small and one row group, so its keys are dealt over the tasks that parse."""
     key = F.col("s_suppkey").cast("string")
     text = F.replace(F.lit(C_FILE), F.lit("@"), key)
     # a macro value beyond the limit ends the file
     wide = F.concat(text, F.lit(" "), F.repeat(F.lit("ab"), 101), F.lit("\n"))
-    rows = _table(spark, sf_dir, "supplier").select(F.concat(F.lit("gen/s_"), key, F.lit(".c")).alias("path"), wide.alias("content"))
+    rows = tree.dealt(_table(spark, sf_dir, "supplier").select("s_suppkey")).select(F.concat(F.lit("gen/s_"), key, F.lit(".c")).alias("path"), wide.alias("content"))
     return tree.from_rows(rows)

@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 from ferrule import schema
 
 SUFFIXES = (".c", ".h")
+#: Tasks a core that rows are dealt over.
+TASKS = 4
 _RAW = "path string, raw binary, mtime timestamp"
 
 
@@ -75,6 +77,15 @@ def from_pairs(spark: SparkSession, pairs: Iterable[tuple[str, str]]) -> DataFra
     return rows.select("path", "content", F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("timestamp").alias("mtime"))
 
 
+def dealt(rows: DataFrame) -> DataFrame:
+    """The rows in several tasks a core, however few files or row groups they lie in: parsing costs far more than reading.
+
+    Rows go round in turn, so one repeated many times isn't parsed in one task. Deal rows
+    while they are narrow: texts that are made of keys are better made afterwards.
+    """
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * TASKS)
+
+
 def from_rows(rows: DataFrame) -> DataFrame:
     """`files` from any rows with path and content."""
     return rows.select("path", "content", F.sha2("content", 256).alias("content_hash"), F.lit(None).cast("timestamp").alias("mtime"))
