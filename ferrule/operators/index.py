@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
@@ -20,6 +21,9 @@ _ARROW = pa.schema(
     ]
 )
 
+#: Facts, or characters of their texts, after which a batch goes out.
+BATCH_FACTS, BATCH_CHARS = 4096, 4 << 20
+
 
 @dataclass
 class Graph:
@@ -41,18 +45,28 @@ class Graph:
         return Graph(**{k: spark.createDataFrame([], v) for k, v in kinds.items()})
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """One row a fact of every readable file, in one pass over its text."""
+def fact_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The facts of each batch's files, in batches of many files: `BATCH_FACTS` facts or `BATCH_CHARS` characters and what the last file adds."""
+    rows, chars = [], 0
+    for batch in batches:
+        for path, content, key in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "content_hash")), strict=True):
+            for f in extract(content):
+                rows.append((f.fact, path, key, f.name, f.kind, f.line, f.pos, f.text, f.flag, f.conditions))
+                chars += len(f.text or "")
+            if len(rows) >= BATCH_FACTS or chars >= BATCH_CHARS:
+                yield _batch(rows)
+                rows, chars = [], 0
+    if rows:
+        yield _batch(rows)
+
 
-    def run(batches):
-        for batch in batches:
-            for path, content, key in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "content_hash")), strict=True):
-                found = extract(content)
-                if found:
-                    rows = [(f.fact, path, key, f.name, f.kind, f.line, f.pos, f.text, f.flag, list(f.conditions)) for f in found]
-                    yield pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
-    return tree.readable(files).select("path", "content", "content_hash").mapInArrow(run, schema.FACTS)
+
+def extract_facts(files: DataFrame) -> DataFrame:
+    """One row a fact of every readable file, in one pass over its text."""
+    return tree.readable(files).select("path", "content", "content_hash").mapInArrow(fact_batches, schema.FACTS)
 
 
 def graph_of(facts: DataFrame) -> Graph:

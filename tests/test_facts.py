@@ -1,8 +1,11 @@
 """What the extractor finds in small pieces of C."""
 
+import pyarrow as pa
 import pytest
 
 from ferrule.functions.c_facts import extract, trim_value
+from ferrule.functions.c_tokens import lex
+from ferrule.operators import index
 
 
 def facts(text, kind):
@@ -128,3 +131,32 @@ def test_conditions_nest():
 @pytest.mark.parametrize("text", ["", "}}}}", "int f(void) {", '"', "/* open", "#define", "#if\n#else", "struct {", "enum E {", "(((", "\x00\xff", "typedef struct S {", "int f(int a", "'"])
 def test_broken_text_never_fails(text):
     extract(text)
+
+
+def test_spaces_are_no_tokens_and_directives_stand_first_in_a_line():
+    found = lex(" \\\n\t/* c */ # define A 1\n a # b \\\r\n  #\v")
+    assert [(t.kind, t.text, t.before) for t in found.tokens] == [("ident", "a", 2), ("punct", "#", 2), ("ident", "b", 2), ("punct", "#", 2)]
+    assert [d.name for d in found.defines] == ["A"] and [k for k, _, _ in found.trivia] == ["comment", "directive"]
+    assert lex("a \t \\\n").tokens == lex("a").tokens
+
+
+def test_facts_of_many_files_go_out_together(monkeypatch):
+    """Small files share a batch, a limit of facts or characters ends one; all facts are there, in the files' order."""
+    texts = [f"int a{k}, b;\nint f{k}(void) {{ g(); }}\n#define M{k}" for k in range(200)] + ["", "int last;"]
+    batch = lambda own: pa.RecordBatch.from_pydict({"path": [str(k) for k, _ in own], "content": [t for _, t in own], "content_hash": [None] * len(own)})
+    numbered = list(enumerate(texts))
+    want = [(str(k), *f) for k, t in numbered for f in extract(t)]
+
+    def run():
+        out = list(index.fact_batches(map(batch, (numbered[:50], numbered[50:], []))))
+        got = [(r["file"], r["fact"], r["name"], r["kind"], r["line"], r["pos"], r["text"], r["flag"], tuple(r["conditions"])) for b in out for r in b.to_pylist()]
+        assert got == want
+        return [b.num_rows for b in out]
+
+    assert run() == [len(want)]
+    monkeypatch.setattr(index, "BATCH_FACTS", 100)
+    assert run() == [100] * 8 + [1]
+    monkeypatch.setattr(index, "BATCH_FACTS", 4096)
+    monkeypatch.setattr(index, "BATCH_CHARS", 1)
+    assert len(run()) == 201
+    assert list(index.fact_batches([])) == []
