@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Collection, Iterable, Iterator
 from dataclasses import dataclass, fields
 
 import pyarrow as pa
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ferrule import schema
-from ferrule.functions.c_facts import extract
+from ferrule.functions.c_facts import KINDS, extract
 from ferrule.sources import tree
 from ferrule.sources.store import materialise
 
@@ -45,12 +45,12 @@ class Graph:
         return Graph(**{k: spark.createDataFrame([], v) for k, v in kinds.items()})
 
 
-def fact_batches(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The facts of each batch's files, in batches of many files: `BATCH_FACTS` facts or `BATCH_CHARS` characters and what the last file adds."""
+def fact_batches(batches: Iterable[pa.RecordBatch], kinds: Collection[str] = KINDS) -> Iterator[pa.RecordBatch]:
+    """The facts of the given kinds of each batch's files, in batches of many files: `BATCH_FACTS` facts or `BATCH_CHARS` characters and what the last file adds."""
     rows, chars = [], 0
     for batch in batches:
         for path, content, key in zip(*(batch.column(c).to_pylist() for c in ("path", "content", "content_hash")), strict=True):
-            for f in extract(content):
+            for f in extract(content, kinds):
                 rows.append((f.fact, path, key, f.name, f.kind, f.line, f.pos, f.text, f.flag, f.conditions))
                 chars += len(f.text or "")
             if len(rows) >= BATCH_FACTS or chars >= BATCH_CHARS:
@@ -64,9 +64,9 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(col, t.type) for col, t in zip(zip(*rows, strict=True), _ARROW, strict=True)], schema=_ARROW)
 
 
-def extract_facts(files: DataFrame) -> DataFrame:
-    """One row a fact of every readable file, in one pass over its text."""
-    return tree.readable(files).select("path", "content", "content_hash").mapInArrow(fact_batches, schema.FACTS)
+def extract_facts(files: DataFrame, kinds: Collection[str] = KINDS) -> DataFrame:
+    """One row a fact of every readable file, in one pass over its text; only facts of the given kinds, nothing is made of others."""
+    return tree.readable(files).select("path", "content", "content_hash").mapInArrow(lambda batches: fact_batches(batches, kinds), schema.FACTS)
 
 
 def graph_of(facts: DataFrame) -> Graph:

@@ -349,10 +349,10 @@ _add(
 # --- extraction ------------------------------------------------------------------------
 
 
-def _facts(kind: str | None, columns: str, where: str = "true") -> Query:
+def _facts(kinds: str, columns: str, where: str = "true") -> Query:
     def run(spark, sf_dir):
-        rows = extract_facts(A.c_files(spark, sf_dir)).withColumn("conditions", F.concat_ws(";", "conditions"))
-        return (rows.where(F.col("fact") == kind) if kind else rows).where(where).selectExpr(*columns.split(", "))
+        rows = extract_facts(A.c_files(spark, sf_dir), kinds.split()).withColumn("conditions", F.concat_ws(";", "conditions"))
+        return rows.where(where).selectExpr(*columns.split(", "))
 
     return run
 
@@ -395,7 +395,7 @@ for _q, _query, _sql in (
     ("parse_prototype_filter", _facts("global", "file, count(*) AS globals", "name LIKE 'proto%' OR name LIKE 'cb%'"), ""),
     (
         "parse_conditions",
-        _facts(None, "name, line, conditions", "fact IN ('function', 'symbol')"),
+        _facts("function symbol", "name, line, conditions"),
         _each(
             f"'LIMIT_' || k AS name, CAST(3 AS BIGINT) AS line, {_GUARD} AS conditions", f"'EMPTY_' || k, 4, {_GUARD}", f"'ADD_' || k, 5, {_GUARD}", f"'RED_' || k, 6, {_GUARD}", f"'BLUE_' || k, 6, {_GUARD}",
             f"'helper_' || k, 16, {_GUARD}", f"'run_' || k, 20, {_GUARD} || ';#ifdef FAST'", f"'run_' || k, 25, {_GUARD} || ';#ifdef FAST;#else'", "'WIDE_' || k, 29, ''",
@@ -408,7 +408,7 @@ for _q, _query, _sql in (
 
 def _prototypes(spark, sf_dir):
     """File-scope variables of each file; prototypes and function pointers are none."""
-    rows = graph_of(extract_facts(A.c_files(spark, sf_dir))).globals
+    rows = graph_of(extract_facts(A.c_files(spark, sf_dir), ["global"])).globals
     return rows.groupBy("file").agg(F.count("*").alias("globals"), F.count_if(F.col("name").rlike("^(proto|cb)_")).alias("prototypes"))
 
 

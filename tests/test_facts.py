@@ -3,9 +3,11 @@
 import pyarrow as pa
 import pytest
 
-from ferrule.functions.c_facts import extract, trim_value
+from ferrule.functions import c_facts
+from ferrule.functions.c_facts import KINDS, Fact, extract, trim_value
 from ferrule.functions.c_tokens import lex
 from ferrule.operators import index
+from ferrule.plans.adapters import C_FILE
 
 
 def facts(text, kind):
@@ -133,6 +135,17 @@ def test_broken_text_never_fails(text):
     extract(text)
 
 
+@pytest.mark.parametrize("kinds", [["global"], ["function", "symbol"], ["call"], ["type"], []])
+def test_only_wanted_kinds_are_made(monkeypatch, kinds):
+    text = C_FILE.replace("@", "7") + " x\nint x [[a]] = 1, *y;\n[[b]] int __attribute__((c)) z[2][3];"
+    every = extract(text)
+    assert {f.fact for f in every} == set(KINDS) and [f.name for f in every if f.fact == "global"] == ["count_7", "shared_7", "x", "z"]
+    made = []
+    monkeypatch.setattr(c_facts, "Fact", lambda *f: made.append(f[0]) or Fact(*f))
+    assert extract(text, kinds) == [f for f in every if f.fact in kinds]
+    assert set(made) <= set(kinds) | ({"function"} if "call" in kinds else set()) | ({"call"} if "function" in kinds else set())
+
+
 def test_spaces_are_no_tokens_and_directives_stand_first_in_a_line():
     found = lex(" \\\n\t/* c */ # define A 1\n a # b \\\r\n  #\v")
     assert [(t.kind, t.text, t.before) for t in found.tokens] == [("ident", "a", 2), ("punct", "#", 2), ("ident", "b", 2), ("punct", "#", 2)]
