@@ -82,8 +82,11 @@ def dealt(rows: DataFrame) -> DataFrame:
 
     Rows go round in turn, so one repeated many times isn't parsed in one task. Deal rows
     while they are narrow: texts that are made of keys are better made afterwards.
+    Before its executors have come, a session knows of two cores only; the number of its
+    shuffle partitions is a lower bound then.
     """
-    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism * TASKS)
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism * TASKS, int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def from_rows(rows: DataFrame) -> DataFrame:

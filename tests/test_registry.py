@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ferrule.operators.index import extract_facts
 from ferrule.plans import adapters, registry
+from ferrule.sources import tree
 
 DIR = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -41,3 +42,14 @@ def test_generated_files_are_parsed_in_several_tasks(spark, tmp_path):
     assert Counter(r.file for r in found) == Counter(f"gen/s_{k}.c" for k in keys if k is not None)
     tasks = Counter(r.task for r in found)
     assert len(tasks) > spark.sparkContext.defaultParallelism and max(tasks.values()) <= 2 * 400 / len(tasks)
+
+
+def test_rows_are_dealt_over_the_shuffle_partitions_where_few_cores_are_known(spark):
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "50")
+        assert tree.dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 50
+        spark.conf.set("spark.sql.shuffle.partitions", "1")
+        assert tree.dealt(spark.range(100).coalesce(1)).rdd.getNumPartitions() == 4 * spark.sparkContext.defaultParallelism
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
